@@ -17,7 +17,54 @@ def op4_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallymill.llm import hilbert
+
+    out = hilbert.assign(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+def op3_chat_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallymill.llm import chat
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    back = chat.read_back(chat.format_conversations(rows.unionByName(extra)))
+    lines = F.array_join(F.zip_with("roles", "texts", lambda r, t: F.concat(r, F.lit("\n"), t, F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("roles").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
+def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallymill.llm import licences
+
+    return licences.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op6_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallymill.llm import audio
+
+    out = audio.features(audio.store(table(spark, sf_dir, "documents")))
+    tensors = F.octet_length("tensors").cast("long").alias("tensor_bytes")
+    return out.select(*[c for c in out.columns if c not in ("segments", "tensors")], F.size("segments").cast("long").alias("n_segments"), tensors)
+
+
+def op7_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallymill.llm import idfiles
+
+    back = idfiles.read_ids(idfiles.write_ids(table(spark, sf_dir, "documents")))
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES = {
+    "op2_hilbert_shards": op2_hilbert_shards,
+    "op3_chat_roundtrip": op3_chat_roundtrip,
+    "op5_licence_scan": op5_licence_scan,
+    "op6_audio_features": op6_audio_features,
+    "op7_id_files": op7_id_files,
     "op4_bpe_roundtrip": op4_bpe_roundtrip,
 }
 
