@@ -59,12 +59,29 @@ def op7_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallymill.llm import simhash
+
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallymill.llm import quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score_rows(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return scored.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 QUERIES = {
     "op2_hilbert_shards": op2_hilbert_shards,
     "op3_chat_roundtrip": op3_chat_roundtrip,
     "op5_licence_scan": op5_licence_scan,
     "op6_audio_features": op6_audio_features,
     "op7_id_files": op7_id_files,
+    "op8_simhash_dedup": op8_simhash_dedup,
+    "op10_rule_quality": op10_rule_quality,
     "op4_bpe_roundtrip": op4_bpe_roundtrip,
 }
 
