@@ -10,9 +10,11 @@ where the index holds each frame's offset and id count, and the trailer the inde
 place. One document is read by two small reads: its index entry and its frame.
 
 Ids come from the tokenizers library. A text is cut before single spaces, where the
-byte-level pattern always begins a new piece, and each distinct piece is encoded by
-the library once while it stays in a bounded cache; texts with other white space
-around spaces, or with a special token's string, go to the library whole.
+byte-level pattern always begins a new piece, and a piece of letters and a tail is
+cut before the tail; each distinct piece is encoded by the library once while it
+stays in a bounded cache; a piece of letters alone, which no pattern splits, by the
+library's model directly. Texts with other white space around spaces, or with a
+special token's string, go to the library whole.
 
 Files follow ascending (doc_id, hash of the text): a null ``doc_id`` comes first,
 and however many rows share a ``doc_id``, the range partitioning splits them. A null
@@ -41,6 +43,18 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 MAGIC = b"TMIDS1\0\0"
 END = 0
 _ODD = re.compile(r"\s \s|\s \Z")
+#: Letters that every Unicode version has as letters, then a mark or white space.
+_TAIL = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~\n].*)", re.S)
+
+
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+
+def byte_letters() -> dict[int, int]:
+    """How the byte-level vocabulary writes a byte: printable bytes as they are, the others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
 
 
 def default_vocabulary() -> str:
@@ -52,40 +66,64 @@ def default_vocabulary() -> str:
 class Encoder:
     """Ids of texts as little-endian arrays, by the library and a cache of pieces."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 700_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.width = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.letters = byte_letters()
         self.cache: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
         self.most = most
 
     def _ask(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.width).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, dtype=self.width).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, wanted: set[str]) -> list[str]:
+        """Put the pieces (without the space before them) into the cache; those that were new."""
+        cache, tails = self.cache, self.tails
+        missing = list(wanted - cache.keys())
+        cut = {x: m.groups() for x in missing if (m := _TAIL.fullmatch(x))}
+        heads = {x for x in missing if x not in cut} | {h for h, _ in cut.values() if h not in cache}
+        plain = list(heads)
+        rest = []
+        tokenize, letters, width = self.library.model.tokenize, self.letters, self.width
+        for x in plain:
+            if _LETTERS.fullmatch(x):
+                cache[x] = np.array([t.id for t in tokenize((" " + x).encode().decode("latin-1").translate(letters))], dtype=width).tobytes()
+            else:
+                rest.append(x)
+        cache.update(zip(rest, self._ask([" " + x for x in rest])))
+        ends = list({t for _, t in cut.values()} - tails.keys())
+        tails.update(zip(ends, self._ask(ends)))
+        for x, (head, tail) in cut.items():
+            cache[x] = cache[head] + tails[tail]
+        for x in [x for x in ends if len(x) > 64]:
+            del tails[x]
+        return [*plain, *cut]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         whole = [i for i, t in enumerate(texts) if any(s in t for s in self.specials) or _ODD.search(t)]
         skip = set(whole)
         cut = {i: t.split(" ") for i, t in enumerate(texts) if i not in skip}
-        wanted = set()
+        wanted: set[str] = set()
         for parts in cut.values():
             wanted.update(parts[1:])
-        if len(self.cache) + len(wanted) > self.most:
+        if len(self.cache) + len(self.tails) + len(wanted) > self.most:
             self.cache.clear()
-        missing = list(wanted - self.cache.keys())
-        cache = self.cache
-        cache.update(zip(missing, self._ask([" " + x for x in missing])))
+            self.tails.clear()
+        new = self._learn(wanted)
         heads = self._ask([parts[0] for parts in cut.values()])
         out: list[bytes] = [b""] * len(texts)
+        get = self.cache.__getitem__
         for (i, parts), head in zip(cut.items(), heads):
-            parts[0] = ""
-            it = map(cache.__getitem__, parts[1:])
-            out[i] = head + b"".join(it)
+            del parts[0]
+            out[i] = head + b"".join(map(get, parts))
         for i, ids in zip(whole, self._ask([texts[i] for i in whole])):
             out[i] = ids
-        for x in [x for x in missing if len(x) > 64]:
-            del cache[x]
+        for x in [x for x in new if len(x) > 64]:
+            del self.cache[x]
         return out
 
 

@@ -74,13 +74,28 @@ def op10_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallymill.llm import decontaminate
+
+    return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op1_ngram_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallymill.llm import ngram
+
+    docs = table(spark, sf_dir, "documents")
+    return ngram.score(docs, ngram.train(docs))
+
+
 QUERIES = {
+    "op1_ngram_score": op1_ngram_score,
     "op2_hilbert_shards": op2_hilbert_shards,
     "op3_chat_roundtrip": op3_chat_roundtrip,
     "op5_licence_scan": op5_licence_scan,
     "op6_audio_features": op6_audio_features,
     "op7_id_files": op7_id_files,
     "op8_simhash_dedup": op8_simhash_dedup,
+    "op9_decontaminate": op9_decontaminate,
     "op10_rule_quality": op10_rule_quality,
     "op4_bpe_roundtrip": op4_bpe_roundtrip,
 }
