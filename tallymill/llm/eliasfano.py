@@ -98,13 +98,15 @@ class EliasFano:
         over = size >= 64 - (bit & 63)
         if over.any():
             size[over] = self.select0(high[over]) - bit[over]
-        end = at + size
-        open_ = np.flatnonzero(at < end)
+        first, last = at.copy(), at + size
+        open_ = np.flatnonzero(first < last)
+        while len(open_):  # a bucket of a frequent word's successors can be long: halve it
+            middle = (first[open_] + last[open_]) >> 1
+            less = self._lows(middle) < low[open_]
+            first[open_] = np.where(less, middle + 1, first[open_])
+            last[open_] = np.where(less, last[open_], middle)
+            open_ = open_[first[open_] < last[open_]]
         found = np.zeros(len(x), dtype=bool)
-        while len(open_):
-            seen, wanted = self._lows(at[open_]), low[open_]
-            found[open_[seen == wanted]] = True
-            open_ = open_[seen < wanted]
-            at[open_] += 1
-            open_ = open_[at[open_] < end[open_]]
-        return at, found
+        inside = np.flatnonzero(first < at + size)
+        found[inside] = self._lows(first[inside]) == low[inside]
+        return first, found
