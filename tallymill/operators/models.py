@@ -7,6 +7,7 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -259,16 +260,13 @@ class MlpModel:
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
-        import pandas as pd
-
         weights = self.weights
 
-        def log_of(*columns: pd.Series) -> pd.Series:
-            x = np.column_stack([c.to_numpy(dtype=np.float64) for c in columns])
-            return pd.Series(MlpModel.forward(weights, x)[-1][:, 0])
+        def log_of(columns: pd.DataFrame) -> pd.Series:
+            return pd.Series(MlpModel.forward(weights, columns.to_numpy(dtype=np.float64))[-1][:, 0])
 
         udf = F.pandas_udf(log_of, "double")
-        log = udf(*(E.col(c).cast("double") for c in self.features))
+        log = udf(F.struct(*(E.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(self.features))))
         return df.withColumn("p", prep.from_log(log, self.residual_variance))
 
     def save(self, path: str) -> None:

@@ -21,12 +21,18 @@ def compressed(transactions: DataFrame, settings: RuleSettings, items: str = "it
     The floor counts all transactions; emptied ones then leave, so supports are
     shares of what remains.
     """
-    n = transactions.count()
+    whole, none = "\0all", "\0none"
+    marks = F.array_append(F.when(F.size(items) == 0, F.array(F.lit(none))).otherwise(F.array_distinct(items)), F.lit(whole))
+    each = transactions.select(F.explode(marks).alias("item")).groupBy("item").agg(F.count("*").alias("count"))
+    rows = each.orderBy(F.desc("count"), "item").limit(settings.max_items + 3).collect()
+    total = {r["item"]: r["count"] for r in rows}
+    n, empty = total.pop(whole, 0), total.pop(none, 0)
     floor = max(1, int(settings.min_support * n))
-    each = transactions.select(F.explode(F.array_distinct(items)).alias("item")).groupBy("item").agg(F.count("*").alias("count"))
-    kept = [r["item"] for r in each.where(F.col("count") >= floor).collect()]  # 1 / min_support items a column at most
+    kept = [item for item, count in total.items() if count >= floor]
     if len(kept) > settings.max_items:
-        raise ValueError(f"{len(kept)} distinct items; the limit is {settings.max_items}")
+        raise ValueError(f"over {settings.max_items} distinct items")
+    if len(kept) == len(total) <= settings.max_items:  # nothing to drop
+        return transactions.withColumn(items, F.array_distinct(items)).where(F.size(items) > 0), n - empty
     allowed = F.array(*map(F.lit, kept)) if kept else F.array().cast("array<string>")
     slim = transactions.withColumn(items, F.array_intersect(F.array_distinct(items), allowed)).where(F.size(items) > 0)
     return slim, slim.count()
