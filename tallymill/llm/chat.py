@@ -58,7 +58,7 @@ def _until(pattern: re.Pattern, text: str, at: int) -> tuple[str, int, int]:
 
 
 def shown(role: str) -> str:
-    return role[:1].upper() + role[1:] if role and role.isascii() and role.islower() else "=" + role
+    return role[:1].upper() + role[1:] if "a" <= role[:1] <= "z" else "=" + role
 
 
 def unshown(role: str) -> str:
