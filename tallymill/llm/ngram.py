@@ -30,7 +30,6 @@ import json
 import os
 import tempfile
 from collections import Counter
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -118,7 +117,7 @@ def map_arrays(folder: str, name: str) -> dict[str, np.ndarray]:
 class Vocabulary:
     """Hash -> id and count, from the mapped parts."""
 
-    def __init__(self, folder: str, names: list[str], sizes: list[int], most: int = 300_000):
+    def __init__(self, folder: str, names: list[str], sizes: list[int], most: int = 150_000):
         self.parts = [map_arrays(folder, n) if n else None for n in names]
         self.base = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         self.size = int(self.base[-1])
@@ -156,9 +155,19 @@ class Vocabulary:
         return out
 
 
-@lru_cache(maxsize=2)
+_held: dict = {}
+
+
+def _only(key: tuple, make):
+    """What a worker last loaded; anything older is let go, so caches don't add up."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def _vocabulary(folder: str, names: tuple, sizes: tuple) -> Vocabulary:
-    return Vocabulary(folder, list(names), list(sizes))
+    return _only(("words", folder), lambda: Vocabulary(folder, list(names), list(sizes)))
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -170,11 +179,11 @@ def count_words(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         counts: Counter = Counter()
-        for batch in pieces(batches):
+        for batch in pieces(batches, 1 << 20):
             for text in texts_of(batch.column("text")):
                 counts.update(text.lower().split())
             counts[END] += batch.num_rows
-            if len(counts) > 400_000:
+            if len(counts) > 250_000:
                 yield rows(counts)
                 counts = Counter()
         if counts:
@@ -228,14 +237,14 @@ def count_pairs(docs: DataFrame, folder: str, names: tuple, sizes: tuple, cuts:
                 names=["segment", "keys", "counts"],
             )
 
-        for batch in pieces(batches):
+        for batch in pieces(batches, 1 << 20):
             words = [END]
             for text in texts_of(batch.column("text")):
                 words += tokens_of(text)
             ids = vocabulary.ids(words).astype(np.uint64)
             held.append(ids[:-1] << np.uint64(32) | ids[1:])
             size += len(ids)
-            if size > 3_000_000:
+            if size > 1_500_000:
                 yield blocks()
                 held, size = [], 0
         if held:
@@ -392,12 +401,11 @@ class Model:
         return {"n_tokens": sizes, "n_known": total(counts > 0).astype(np.int64), "base_score": total(base), "score": total(logs)}
 
 
-@lru_cache(maxsize=2)
 def _model(folder: str) -> Model:
-    return Model(folder)
+    return _only(("model", folder), lambda: Model(folder))
 
 
-def train(docs: DataFrame, tokens: int = 2_000_000, folder: str | None = None) -> str:
+def train(docs: DataFrame, tokens: int = 1_000_000, folder: str | None = None) -> str:
     """Count, smooth and encode; the model's folder. ``tokens`` bounds a segment."""
     spark = docs.sparkSession
     folder = folder or fresh_dir(spark, "ngram")
@@ -452,7 +460,7 @@ def score(docs: DataFrame, folder: str) -> DataFrame:
 
     def run(batches):
         model = _model(folder)
-        for batch in pieces(batches):
+        for batch in pieces(batches, 1 << 20):
             out = model.score(texts_of(batch.column("text")))
             total = pa.array(np.full(batch.num_rows, model.total, dtype=np.int64))
             yield pa.RecordBatch.from_arrays(
