@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 #: Text that Python's float() accepts, but for signed nan, once stripped.
 FLOAT_GRAMMAR = r"(?i)^[+-]?((\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*)?|inf|infinity|nan)$"
@@ -36,6 +37,12 @@ def py_float(c: str | Column) -> Column:
     return F.when(signed_nan, F.lit(float("nan"))).when(text.rlike(FLOAT_GRAMMAR), number)
 
 
+def number(df: DataFrame, c: str) -> Column:
+    """A column as a number: numeric types as they are, anything else read by py_float."""
+    kind = df.schema[c].dataType
+    return col(c).cast("double") if isinstance(kind, NumericType) else py_float(c)
+
+
 def missing_exact(c: str | Column) -> Column:
     return col(c).isNull() | (col(c).cast("string") == "")
 

@@ -28,10 +28,11 @@ def settled(edges: list[float], low: float | None = None, high: float | None = N
 
 def fit_edges(df: DataFrame, columns: list[str], bins: int = 6, method: str = "quantile", precision: int = 3) -> dict[str, list[float]]:
     """Edges of all columns from one aggregate: exact interpolated quantiles or equal widths."""
+    parsed = [E.number(df, c) for c in columns]
+    df = df.select(*(F.when(~F.isnan(v), v).alias(f"_v{i}") for i, v in enumerate(parsed)))
     aggs = []
     for i, c in enumerate(columns):
-        v = E.py_float(c)
-        v = F.when(~F.isnan(v), v)
+        v = F.col(f"_v{i}")
         aggs += [F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
         if method == "quantile":
             aggs.append(F.percentile(v, F.array(*(F.lit(j / bins) for j in range(bins + 1)))).alias(f"q{i}"))
@@ -78,6 +79,14 @@ def items(edges: dict[str, list[float]], categories: dict[str, list[str] | None]
     return F.array_compact(F.array(*parts))
 
 
+def with_items(df: DataFrame, edges: dict[str, list[float]], categories: dict[str, list[str] | None], name: str = "items") -> DataFrame:
+    """``df`` with its rows' items; each number is parsed once, before the labels look at it."""
+    parsed = df.select("*", *(E.number(df, c).alias(f"_n{i}") for i, c in enumerate(edges)))
+    parts = [F.when(~E.missing_exact(c), label(c, e, F.col(f"_n{i}"))) for i, (c, e) in enumerate(edges.items())]
+    parts += [F.when(~E.missing_exact(c), F.concat(F.lit(f"{c} = "), collapsed(c, top))) for c, top in categories.items()]
+    return parsed.select(*map(E.col, df.columns), F.array_compact(F.array(*parts)).alias(name))
+
+
 def top_levels(counts: DataFrame, k: int) -> dict[str, list[str]]:
     """The k most frequent levels of each column (ties by level); k rows a column."""
     from pyspark.sql import Window

@@ -24,7 +24,7 @@ def describe(df: DataFrame, columns: list[str], precision: int = 4) -> DataFrame
     """(column, count, mean, std, min, p25, p50, p75, max), all columns in one aggregate."""
     parts = []
     for i, c in enumerate(columns):
-        v = E.py_float(c) if dict(df.dtypes)[c] == "string" else E.col(c).cast("double")
+        v = E.number(df, c)
         v = F.when(~F.isnan(v), v)
         q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
         r = lambda x: F.round(x, precision)
@@ -48,7 +48,7 @@ def describe_levels(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def correlations(df: DataFrame, columns: list[str], precision: int = 4) -> DataFrame:
     """(a, b, corr) of all pairs in one aggregate, over rows where both are numbers."""
-    v = {c: E.py_float(c) if dict(df.dtypes)[c] == "string" else E.col(c).cast("double") for c in columns}
+    v = {c: E.number(df, c) for c in columns}
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     parts = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(F.corr(v[a], v[b]), precision).alias("corr")).alias(f"s{i}") for i, (a, b) in enumerate(pairs)]
     return df.agg(*parts).select(F.explode(F.array(*(f"s{i}" for i in range(len(pairs))))).alias("s")).select("s.*")
@@ -58,7 +58,7 @@ def histogram(df: DataFrame, columns: dict[str, tuple[float, float]], bins: int
     """(column, bin, lo, hi, count) of equal-width bins over given ranges; the top edge is inside."""
     cells = []
     for c, (low, high) in columns.items():
-        v = E.py_float(c) if dict(df.dtypes)[c] == "string" else E.col(c).cast("double")
+        v = E.number(df, c)
         at = F.least(F.floor((v - low) * bins / ((high - low) or 1.0)), F.lit(bins - 1)).cast("long")
         cells.append(F.struct(F.lit(c).alias("column"), F.when((v >= low) & (v <= high), at).alias("bin"), F.lit(low).alias("_lo"), F.lit((high - low) / bins).alias("_w")))
     out = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where(F.col("bin").isNotNull())

@@ -87,10 +87,11 @@ def fold_summary(folds: DataFrame, metrics: list[str]) -> DataFrame:
 
 def fences(df: DataFrame, columns: list[str], factor: float = 4.0) -> dict[str, tuple[float, float]]:
     """Quartile fences of finite cells; columns with under 4 of them or no spread have none."""
+    parsed = [E.number(df, c) for c in columns]
+    df = df.select(*(F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v).alias(f"_v{i}") for i, v in enumerate(parsed)))
     aggs = []
     for i, c in enumerate(columns):
-        v = E.py_float(c)
-        v = F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
+        v = F.col(f"_v{i}")
         aggs += [F.percentile(v, F.array(F.lit(0.25), F.lit(0.75))).alias(f"q{i}"), F.count(v).alias(f"n{i}")]
     row = df.agg(*aggs).first()
     out = {}
@@ -107,8 +108,9 @@ def row_rates(df: DataFrame, numeric: list[str], categorical: list[str], factor:
     missing, outlier = F.lit(False), F.lit(False)
     for c in (*numeric, *categorical):
         missing = missing | E.missing_trimmed(c)
-    for c in numeric:
-        v = E.py_float(c)
+    df = df.select("*", *(E.number(df, c).alias(f"_o{i}") for i, c in enumerate(numeric)))
+    for i, c in enumerate(numeric):
+        v = F.col(f"_o{i}")
         odd = F.isnan(v) | (F.abs(v) == float("inf"))
         if c in edges:
             odd = odd | (v < edges[c][0]) | (v > edges[c][1])

@@ -95,9 +95,11 @@ def fit(df: DataFrame, numeric: list[str], categorical: list[str], variant: str
         df = df.orderBy(*order).limit(fit_rows)
     how = VARIANTS[variant]
     aggs = []
+    parsed = [E.number(df, c) for c in numeric]
+    cells = df
+    df = df.select(*map(E.col, dict.fromkeys(categorical)), *(F.when(~F.isnan(v), v).alias(f"_v{i}") for i, v in enumerate(parsed)))
     for i, c in enumerate(numeric):
-        v = E.py_float(c)
-        v = F.when(~F.isnan(v), v)
+        v = F.col(f"_v{i}")
         middle = F.median(v) if how["impute"] == "median" else F.avg(v) if how["impute"] == "mean" else F.mode(v, True)
         aggs += [middle.alias(f"m{i}"), F.count(v).alias(f"n{i}"), F.sum(v).alias(f"s{i}"), F.sum(v * v).alias(f"q{i}"), F.count("*").alias(f"a{i}"), F.var_pop(v).alias(f"v{i}"), F.avg(v).alias(f"g{i}")]
     for i, c in enumerate(categorical):
@@ -118,7 +120,7 @@ def fit(df: DataFrame, numeric: list[str], categorical: list[str], variant: str
     if categorical:
         from tallymill.operators.stats import level_counts
 
-        counts = level_counts(df, list(categorical)).where("level is not null")
+        counts = level_counts(cells, list(categorical)).where("level is not null")
         from pyspark.sql import Window
 
         ranked = counts.withColumn("_r", F.row_number().over(Window.partitionBy("column").orderBy(F.desc("count"), "level")))

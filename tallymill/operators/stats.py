@@ -15,17 +15,18 @@ from tallymill.functions import expr as E
 STATE = ("count", "sum", "min", "max", "mean", "m2", "zero_count", "missing", "nonvalid")
 
 
-def _number(c: str, kind: str) -> Column:
-    v = E.col(c).cast("double") if kind in ("double", "float", "int", "bigint", "smallint", "tinyint") or kind.startswith("decimal") else E.py_float(c)
+def _number(df: DataFrame, c: str) -> Column:
+    v = E.number(df, c)
     return F.when(~F.isnan(v), v)
 
 
 def numeric_state(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, count, sum, min, max, mean, m2, zero_count, missing, nonvalid): one scan, one row a column."""
-    kinds = dict(df.dtypes)
+    # Parsed once: a projection that several aggregates read isn't folded into them.
+    df = df.select(*(E.col(c) for c in dict.fromkeys(columns)), *(_number(df, c).alias(f"_v{i}") for i, c in enumerate(columns)))
     aggs = []
     for i, c in enumerate(columns):
-        v = _number(c, kinds[c])
+        v = F.col(f"_v{i}")
         aggs.append(
             F.struct(
                 F.lit(c).alias("column"),

@@ -90,7 +90,7 @@ def mine_rules(config: Config, rows: DataFrame, levels: DataFrame) -> dict:
     edges = bins.fit_edges(rows, numbers, s.bins, s.binning, config.precision) if numbers else {}
     top = bins.top_levels(levels, s.levels)
     categories = {c: top.get(c, []) for c in roles.categorical}
-    transactions = rows.select(bins.items(edges, categories).alias("items"))
+    transactions = bins.with_items(rows, edges, categories).select("items")
     slim, n = rules.compressed(transactions, s)
     report = []
     if n:
@@ -150,7 +150,8 @@ def training_rows(spark: SparkSession, config: Config, path_csv: str | None, dat
             keep = lambda names: tuple(c for c in names if c in contract["kept"])
             roles = type(roles)(roles.target, roles.datetime, roles.datetime_format, roles.id, keep(roles.numeric), keep(roles.categorical), roles.drop)
     if mined["specs"]:
-        flagged = rules.flags(bins.items(mined["edges"], mined["categories"]), mined["specs"])
+        rows = bins.with_items(rows, mined["edges"], mined["categories"], "_items")
+        flagged = rules.flags(F.col("_items"), mined["specs"])
     raw = rows.select("*", *E.engineered(config.engineered), *flagged)
     raw = raw.where(quality.keep_row(roles)) if not path_csv else raw
     numeric = [*roles.numeric, *(s["name"] for s in mined["specs"]), *config.engineered.names]

@@ -321,7 +321,7 @@ def transactions_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     wide = li.join(o, li["l_orderkey"] == o["o_orderkey"]).withColumn("CLAIM", F.when(F.col("l_returnflag") == "R", "yes").otherwise("no"))
     edges = bins.fit_edges(wide, T_NUM, SETTINGS.bins)
-    return wide.select("l_orderkey", "l_linenumber", bins.items(edges, {c: None for c in T_CAT}).alias("items"))
+    return bins.with_items(wide, edges, {c: None for c in T_CAT}).select("l_orderkey", "l_linenumber", "items")
 
 
 def _label_sql(c: str, e: str) -> str:
@@ -405,9 +405,8 @@ def top_k_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     "CAST(coalesce(l_returnflag = 'N' AND l_linestatus = 'O' AND TRY_CAST(l_quantity AS DOUBLE) >= 25 AND TRY_CAST(l_quantity AS DOUBLE) <= 50, false) AS INTEGER) AS rule_1 FROM dirty",
 )
 def rule_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = bins.items({"l_quantity": [1.0, 25.0, 50.0]}, {"l_returnflag": None, "l_linestatus": None})
     specs = [{"name": "rule_0", "antecedent": ["l_returnflag = R"]}, {"name": "rule_1", "antecedent": ["l_returnflag = N", "l_linestatus = O", "(25.0 <= l_quantity <= 50.0)"]}]
-    rows = dirty(spark, sf_dir).withColumn("_i", items)
+    rows = bins.with_items(dirty(spark, sf_dir), {"l_quantity": [1.0, 25.0, 50.0]}, {"l_returnflag": None, "l_linestatus": None}, "_i")
     return rows.select("l_orderkey", F.col("l_linenumber").cast("long"), *rules.flags(F.col("_i"), specs))
 
 
