@@ -10,9 +10,9 @@ from tallymill.config import RuleSettings
 
 def item_support(transactions: DataFrame, items: str = "items") -> DataFrame:
     """(item, count, support) over all transactions."""
-    n = transactions.agg(F.count("*").alias("n"))
+    n = transactions.count()
     each = transactions.select(F.explode(F.array_distinct(items)).alias("item")).groupBy("item").agg(F.count("*").alias("count"))
-    return each.join(F.broadcast(n)).select("item", "count", (F.col("count") / F.col("n")).alias("support"))  # one row on the right
+    return each.select("item", "count", (F.col("count") / F.lit(n)).alias("support"))
 
 
 def compressed(transactions: DataFrame, settings: RuleSettings, items: str = "items") -> tuple[DataFrame, int]:

@@ -101,12 +101,12 @@ def cross_validated(df: DataFrame, name: str, k: int, label: str = "label", key:
 def classification_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
     """(accuracy, weighted_precision, weighted_recall, weighted_f1, balanced_accuracy, n) from the confusion table."""
     pairs = df.groupBy(F.col(label).alias("l"), F.col(prediction).alias("p")).agg(F.count("*").alias("c"))
-    classes = pairs.select(F.col("l").alias("k")).union(pairs.select(F.col("p").alias("k"))).distinct()
-    per = classes.join(pairs, (F.col("k") == F.col("l")) | (F.col("k") == F.col("p")), "left").groupBy("k").agg(  # a row a pair of classes
-        F.coalesce(F.sum(F.when((F.col("l") == F.col("k")) & (F.col("p") == F.col("k")), F.col("c"))), F.lit(0)).alias("tp"),
-        F.coalesce(F.sum(F.when(F.col("l") == F.col("k"), F.col("c"))), F.lit(0)).alias("of"),
-        F.coalesce(F.sum(F.when(F.col("p") == F.col("k"), F.col("c"))), F.lit(0)).alias("said"),
+    zero = F.lit(0).cast("long")
+    sides = F.array(
+        F.struct(F.col("l").alias("k"), F.when(F.col("l") == F.col("p"), F.col("c")).otherwise(zero).alias("tp"), F.col("c").alias("of"), zero.alias("said")),
+        F.struct(F.col("p").cast(pairs.schema["l"].dataType).alias("k"), zero.alias("tp"), zero.alias("of"), F.col("c").alias("said")),
     )
+    per = pairs.select(F.explode(sides).alias("s")).groupBy("s.k").agg(*(F.sum(f"s.{x}").alias(x) for x in ("tp", "of", "said")))
     precision = F.when(F.col("said") > 0, F.col("tp") / F.col("said")).otherwise(0.0)
     recall = F.when(F.col("of") > 0, F.col("tp") / F.col("of")).otherwise(0.0)
     f1 = F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)

@@ -790,3 +790,112 @@ def top_levels_per_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = stats.level_counts(table(spark, sf_dir, "part"), ["p_brand", "p_type"])
     ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy("column").orderBy(F.desc("count"), "level")))
     return ranked.where("r <= 3").select("column", "level", "count")
+
+
+# ---- more of the inventory
+
+
+@query(
+    "eda_levels",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", CAST(sum(n) AS BIGINT) AS count, count(*) AS \"unique\", min(k) FILTER (n = m) AS top, max(n) AS freq FROM "
+        f"(SELECT {c} AS k, count(*) AS n, max(count(*)) OVER () AS m FROM lineitem GROUP BY {c})"
+        for c in CATEGORICAL
+    ),
+)
+def eda_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eda.describe_levels(table(spark, sf_dir, "lineitem"), CATEGORICAL)
+
+
+@query("stream_window_counts", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS count FROM events GROUP BY 1, 2")
+def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    folder, name = scratch(spark, "windows"), f"windows_{uuid.uuid4().hex}"
+    counts = ingest.windowed_counts(stream, "ts", "event_type")
+    counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "count")
+
+
+@query("stream_level_counts", "SELECT 'event_type' AS \"column\", event_type AS level, count(*) AS count FROM events GROUP BY event_type")
+def stream_level_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = table(spark, sf_dir, "events").schema
+    folder = scratch(spark, "stream")
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    ingest.ingest(stream, folder, ["value"], ["event_type"]).awaitTermination()
+    return ingest.level_state(spark, folder)
+
+
+@query("ordered_first_rows", "SELECT event_id, CAST(ts AS DATE) AS event_date FROM events ORDER BY CAST(ts AS DATE), event_id LIMIT 100")
+def ordered_first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("date").alias("event_date"))
+    return store.ordered(events, "event_id").limit(100)
+
+
+@query(
+    "first_batches_per_file",
+    "SELECT count(*) AS n, CAST(20 AS BIGINT) AS last_row FROM (SELECT n_nationkey FROM nation LIMIT 20)",
+)
+def first_batches_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "csv")
+    table(spark, sf_dir, "nation").coalesce(1).write.option("header", True).csv(path)
+    return csv.first_batches(csv.scan(spark, path), 10, 2).agg(F.count("*").alias("n"), F.max("row_number").alias("last_row"))
+
+
+@query("missing_kinds", f"WITH {DIRTY_SQL} SELECT count(*) FILTER (coalesce(l_returnflag, '') = '') AS exact, count(*) FILTER (coalesce(trim(l_returnflag), '') = '') AS trimmed, count(*) AS n FROM dirty")
+def missing_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = dirty(spark, sf_dir)
+    return rows.agg(F.count_if(E.missing_exact("l_returnflag")).alias("exact"), F.count_if(E.missing_trimmed("l_returnflag")).alias("trimmed"), F.count("*").alias("n"))
+
+
+@query("level_union_and_difference", "SELECT l_returnflag AS level, 'common' AS side FROM (SELECT l_returnflag FROM lineitem WHERE l_linestatus = 'O' INTERSECT SELECT l_returnflag FROM lineitem WHERE l_linestatus = 'F') "
+       "UNION ALL SELECT l_returnflag, 'first only' FROM (SELECT l_returnflag FROM lineitem WHERE l_linestatus = 'O' EXCEPT SELECT l_returnflag FROM lineitem WHERE l_linestatus = 'F')")
+def level_union_and_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    a, b = (li.where(F.col("l_linestatus") == s).select(F.col("l_returnflag").alias("level")) for s in ("O", "F"))
+    return a.intersect(b).withColumn("side", F.lit("common")).unionByName(a.subtract(b).withColumn("side", F.lit("first only")))
+
+
+@query(
+    "best_model",
+    "SELECT arg_max(model, s) AS model, max(s) AS score FROM (SELECT model, avg(weighted_f1) AS s FROM (VALUES ('lr', CAST(0.5 AS DOUBLE)), ('lr', 0.75), ('rf', 0.75), ('rf', 0.625)) t(model, weighted_f1) GROUP BY model)",
+)
+def best_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.best_model(spark.createDataFrame([("lr", 0.5), ("lr", 0.75), ("rf", 0.75), ("rf", 0.625)], "model string, weighted_f1 double"))
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.ml.functions import array_to_vector
+
+    return table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector("embedding").alias("features"), F.col("label").cast("double").alias("label"))
+
+
+@query("pca_components")
+def pca_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.ml.functions import vector_to_array
+
+    return text.principal_components(_vectors(spark, sf_dir), 3).select("vec_id", vector_to_array("components").alias("components"))
+
+
+@query("svd_values")
+def svd_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values, _ = text.truncated_svd(_vectors(spark, sf_dir), 3)
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i int, value double")
+
+
+@query("nmf_topics")
+def nmf_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = text.tfidf(table(spark, sf_dir, "documents"), max_features=200, min_df=2, max_df=0.95)
+    coded = weights.select(F.col("doc_id").cast("int").alias("row"), F.pmod(F.xxhash64("term"), F.lit(1 << 30)).cast("int").alias("item"), F.col("weight").cast("float").alias("value"))
+    return text.factorised(coded, 4, "row", "item", "value").userFactors.select(F.col("id").alias("doc_id"), F.col("features").alias("topics"))
+
+
+@query("classifier_cv")
+def classifier_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.cross_validated(_vectors(spark, sf_dir), "lr", 3, key="vec_id")
+
+
+@query("profile_frames", None)
+def profile_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    html = eda.profile(table(spark, sf_dir, "lineitem").select(*NUMERIC, *CATEGORICAL), Roles("l_extendedprice", numeric=("l_quantity", "l_discount", "l_tax"), categorical=tuple(CATEGORICAL)))
+    return spark.createDataFrame([("profile", html.count("<h2>"))], "name string, sections int")
