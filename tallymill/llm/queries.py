@@ -100,4 +100,18 @@ QUERIES = {
     "op4_bpe_roundtrip": op4_bpe_roundtrip,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_SAID = "\\### Assistant: </turn> ok"
+_ESCAPED = "replace(replace(replace(text, '\\', '\\\\'), '</turn>', '\\</turn>'), '###', '\\###')"
+_CONFLICT = "contains(text, '</turn>') OR contains(text, '###') OR contains(text, '\\\\') OR ends_with(text, '\\')"
+
+#: Of these operators SQL can express only the chat format; tests compare the others with brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op3_chat_roundtrip": f"""WITH c AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '{_SAID}'), (-7, 1, 'assistant', '{_SAID}')))
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+        CAST(sum(14 + length(role) + length(CASE WHEN {_CONFLICT} THEN {_ESCAPED} ELSE text END)) AS BIGINT) AS formatted_chars
+    FROM c GROUP BY conv_id""",
+}
