@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tallymill.config import AutoSettings, Validation
 from tallymill.functions import expr as E
 from tallymill.operators import prep
+from tallymill.sources.store import checkpointed
 
 
 # ---- splits
@@ -26,8 +27,13 @@ def holdout(key: str | Column, share: float, seed: int = 42) -> Column:
 
 
 def positions(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
-    """Rows numbered from 0 in order, by range partitions and their counts."""
+    """Rows numbered from 0 in order, by range partitions and their counts.
+
+    Ranges come from a sample that two jobs could draw differently, so the
+    partitions are checkpointed before they are counted.
+    """
     parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    parts = checkpointed(parts)
     counts = {r["_p"]: r["n"] for r in parts.groupBy("_p").agg(F.count("*").alias("n")).collect()}  # a row a partition
     starts, at = {}, 0
     for p in sorted(counts):

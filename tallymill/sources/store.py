@@ -20,6 +20,16 @@ def _jpath(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared folder, partitions as they are."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tallymill-"))
+    return df.checkpoint()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p, fs = _jpath(spark, path)
     return bool(fs.exists(p))
