@@ -26,8 +26,13 @@ def settled(edges: list[float], low: float | None = None, high: float | None = N
     return [edges[0], edges[0] + 1e-9]
 
 
-def fit_edges(df: DataFrame, columns: list[str], bins: int = 6, method: str = "quantile", precision: int = 3) -> dict[str, list[float]]:
-    """Edges of all columns from one aggregate: exact interpolated quantiles or equal widths."""
+def fit_edges(df: DataFrame, columns: list[str], bins: int = 6, method: str = "quantile", precision: int = 3, cap: int | None = None, seed: int = 0) -> dict[str, list[float]]:
+    """Edges of all columns from one aggregate: exact interpolated quantiles or equal widths.
+
+    ``cap`` learns from that many rows only, chosen by hash and so repeatable.
+    """
+    if cap is not None:
+        df = df.orderBy(F.xxhash64(*map(E.col, columns), F.lit(seed))).limit(cap)
     parsed = [E.number(df, c) for c in columns]
     df = df.select(*(F.when(~F.isnan(v), v).alias(f"_v{i}") for i, v in enumerate(parsed)))
     aggs = []

@@ -97,5 +97,17 @@ def write_report(report: DataFrame, path: str, append_rows: bool = False) -> Non
     report.write.mode("append" if append_rows else "overwrite").json(path)
 
 
+def write_yaml(spark: SparkSession, value: object, path: str) -> None:
+    """A small driver-side document as YAML, through Spark's file systems."""
+    import yaml
+
+    p, fs = _jpath(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(yaml.safe_dump(value, allow_unicode=True, sort_keys=False).encode())
+    finally:
+        out.close()
+
+
 def read_report(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
     return spark.read.schema(schema).json(path) if exists(spark, path) else None

@@ -199,6 +199,18 @@ def test_store_and_csv(spark, tmp_path):
     assert store.reset(spark, path, f"file://{tmp_path}/none") == [path] and not store.exists(spark, path)
 
 
+def test_yaml_report(spark, tmp_path):
+    import yaml
+
+    store.write_yaml(spark, {"status": "ok", "n": [1, 2]}, f"file://{tmp_path}/r.yaml")
+    assert yaml.safe_load((tmp_path / "r.yaml").read_text()) == {"status": "ok", "n": [1, 2]}
+
+
+def test_capped_edges_repeat(spark):
+    df = spark.range(1000).selectExpr("cast(id as string) a")
+    assert bins.fit_edges(df, ["a"], cap=100) == bins.fit_edges(df.repartition(7), ["a"], cap=100)
+
+
 def test_training_loader(spark, tmp_path):
     (tmp_path / "t.csv").write_text("a,y\n1,2\n,3\n4,x\n")
     roles = Roles("y", numeric=("a",))
