@@ -248,7 +248,7 @@ def _vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
     return out, np.array([len(x) for x in out], dtype=np.uint32)
 
 
-def encode_texts(texts: list[str], path: str, most: int = 250_000) -> list[bytes]:
+def encode_texts(texts: list[str], path: str, most: int = 150_000) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers."""
     cache = _cache(path, most)
     found, bounds = split_many(texts)
@@ -284,7 +284,7 @@ def encode(docs: DataFrame, path: str | None = None, key: str = "doc_id", text:
 
     def run(batches):
         _, lengths = _vocabulary(path)
-        for batch in pieces(batches, 1 << 20):
+        for batch in pieces(batches):
             texts = [x or "" for x in batch.column("text").to_pylist()]
             ids = encode_texts(texts, path)
             at = []

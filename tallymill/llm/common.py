@@ -58,7 +58,20 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], chars: int = 1 << 22, column: str = "text") -> Iterator[pa.RecordBatch]:
+def give_back() -> None:
+    """Return freed memory to the system; workers live on from task to task."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no glibc here
+        pass
+
+
+def pieces(batches: Iterator[pa.RecordBatch], chars: int = 1 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``chars`` bytes of text, whole rows each."""
     import numpy as np
 
@@ -72,3 +85,4 @@ def pieces(batches: Iterator[pa.RecordBatch], chars: int = 1 << 22, column: str
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+    give_back()

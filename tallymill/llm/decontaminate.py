@@ -47,7 +47,7 @@ def words_of(text: str | None) -> list[bytes]:
 class Words(dict):
     """Word -> 64-bit hash, forgotten when there are too many."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 150_000):
         super().__init__()
         self.most = most
 
@@ -216,7 +216,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, similarity
     def searching(items: tuple):
         def run(batches):
             index = _index(items, radius, similarity, shingle)
-            for batch in pieces(batches, 1 << 21):
+            for batch in pieces(batches):
                 found = index.find(batch.column("text").to_pylist())
                 rows = [(k, index.ids[i], round(a, 6), b, c - 1, d) for k, own in zip(batch.column("doc_id").to_pylist(), found) for i, a, b, c, d in own]
                 if rows:
@@ -239,7 +239,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, similarit
     def keeping(items: tuple):
         def run(batches):
             index = _index(items, radius, similarity, shingle)
-            for batch in pieces(batches, 1 << 21):
+            for batch in pieces(batches):
                 found = index.find(batch.column("text").to_pylist())
                 yield batch.filter(pa.array([not x for x in found], pa.bool_()))
 
