@@ -83,7 +83,7 @@ class Encoder:
     def _learn(self, wanted: set[str]) -> list[str]:
         """Put the pieces (without the space before them) into the cache; those that were new."""
         cache, tails = self.cache, self.tails
-        missing = list(wanted - cache.keys())
+        missing = [x for x in wanted if x not in cache]
         cut = {x: m.groups() for x in missing if (m := _TAIL.fullmatch(x))}
         heads = {x for x in missing if x not in cut} | {h for h, _ in cut.values() if h not in cache}
         plain = list(heads)
@@ -95,7 +95,7 @@ class Encoder:
             else:
                 rest.append(x)
         cache.update(zip(rest, self._ask([" " + x for x in rest])))
-        ends = list({t for _, t in cut.values()} - tails.keys())
+        ends = list({t for _, t in cut.values() if t not in tails})
         tails.update(zip(ends, self._ask(ends)))
         for x, (head, tail) in cut.items():
             cache[x] = cache[head] + tails[tail]
@@ -104,23 +104,25 @@ class Encoder:
         return [*plain, *cut]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [i for i, t in enumerate(texts) if any(s in t for s in self.specials) or _ODD.search(t)]
-        skip = set(whole)
-        cut = {i: t.split(" ") for i, t in enumerate(texts) if i not in skip}
+        cut = [t.split(" ") for t in texts]
         wanted: set[str] = set()
-        for parts in cut.values():
+        for parts in cut:
             wanted.update(parts[1:])
+        # Only a piece that is empty or begins with white space can follow other white space.
+        odd = {x for x in wanted if not x or x[0].isspace()}
+        whole = {i for i, t in enumerate(texts) if any(s in t for s in self.specials) or odd and not odd.isdisjoint(cut[i]) and _ODD.search(t)}
+        if whole:
+            wanted = {x for i, parts in enumerate(cut) if i not in whole for x in parts[1:]}
         if len(self.cache) + len(self.tails) + len(wanted) > self.most:
             self.cache.clear()
             self.tails.clear()
         new = self._learn(wanted)
-        heads = self._ask([parts[0] for parts in cut.values()])
+        rest = [i for i in range(len(texts)) if i not in whole]
         out: list[bytes] = [b""] * len(texts)
         get = self.cache.__getitem__
-        for (i, parts), head in zip(cut.items(), heads):
-            del parts[0]
-            out[i] = head + b"".join(map(get, parts))
-        for i, ids in zip(whole, self._ask([texts[i] for i in whole])):
+        for i, head in zip(rest, self._ask([cut[i][0] for i in rest])):
+            out[i] = head + b"".join(map(get, cut[i][1:]))
+        for i, ids in zip(sorted(whole), self._ask([texts[i] for i in sorted(whole)])):
             out[i] = ids
         for x in [x for x in new if len(x) > 64]:
             del self.cache[x]
