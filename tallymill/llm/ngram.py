@@ -139,10 +139,11 @@ class Vocabulary:
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         """Id of each word, -1 where it is unknown."""
-        missing = list(set(words) - self.cache.keys())
+        distinct = set(words)
+        missing = [w for w in distinct if w not in self.cache]
         if len(self.cache) + len(missing) > self.most:
             self.cache.clear()
-            missing = list(set(words))
+            missing = list(distinct)
         self.cache.update(zip(missing, self.find(hashes_of(missing)).tolist()))
         return np.fromiter(map(self.cache.__getitem__, words), dtype=np.int64, count=len(words))
 
