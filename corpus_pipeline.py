@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import bpe, decontaminate, quality, simhash
+from tallymill.llm import bpe, decontaminate, neardup, quality
 from tallymill.llm.common import saved
 
 #: Documents with a lower score than this are rejected.
@@ -25,8 +25,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest doc_id."""
-    return simhash.keep_one(docs)
+    """One document of each group with five-word similarity 0.8 or more stays: the one with the smallest doc_id."""
+    return neardup.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [
     ("quality classifier", quality_stage),
-    ("SimHash near-dedup", dedup_stage),
+    ("near-dedup", dedup_stage),
     ("benchmark decontamination", decontamination_stage),
     ("byte-level BPE encoding and decoding", encoding_stage),
 ]

@@ -33,25 +33,28 @@ RADIUS = 3
 LOW = 0x5555555555555555
 
 
-def fingerprints_of(texts: list[bytes], size: int = 3) -> np.ndarray:
-    """64-bit fingerprints of lower-cased texts (as unsigned integers)."""
+def shingle_hashes(text: bytes, size: int) -> list[int]:
+    """Hashes of a text's shingles of ``size`` words, in order and with repeats."""
     from xxhash import xxh64_intdigest
 
+    words = text.lower().split()
+    if not words:
+        return [0]
+    line = b" ".join(words)
+    if len(words) <= size:
+        return [xxh64_intdigest(line, 42)]
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
+    begins = np.concatenate([[0], ends[:-1] + 1])
+    return [xxh64_intdigest(line[a:b], 42) for a, b in zip(begins[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist())]
+
+
+def fingerprints_of(texts: list[bytes], size: int = 3) -> np.ndarray:
+    """64-bit fingerprints of lower-cased texts (as unsigned integers)."""
     hashes: list[int] = []
     starts = np.zeros(len(texts), dtype=np.int64)
     for i, text in enumerate(texts):
         starts[i] = len(hashes)
-        words = text.lower().split()
-        if not words:
-            hashes.append(0)
-            continue
-        line = b" ".join(words)
-        if len(words) <= size:
-            hashes.append(xxh64_intdigest(line, 42))
-            continue
-        ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
-        begins = np.concatenate([[0], ends[:-1] + 1])
-        hashes += [xxh64_intdigest(line[a:b], 42) for a, b in zip(begins[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist())]
+        hashes += shingle_hashes(text, size)
     if not texts:
         return np.zeros(0, dtype=np.uint64)
     bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
