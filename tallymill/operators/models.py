@@ -324,7 +324,7 @@ def matrix(df: DataFrame, p: prep.Preprocessor, target: Column, key: str) -> tup
     """(features under plain names, ``y``, key), feature names."""
     names = [f"f{i}" for i in range(len(p.output))]
     cols = [c.cast("double").alias(n) for c, n in zip(p.columns(set(df.columns)), names)]
-    return df.select(key, target.alias("y"), *cols), names
+    return p.placed(df).select(key, target.alias("y"), *cols), names
 
 
 def sweep(df: DataFrame, numeric: list[str], categorical: list[str], variants: list[str], kind: str, target: Column, key: str, validation: Validation, **options) -> tuple[str, dict[str, dict]]:

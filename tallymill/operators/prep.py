@@ -18,6 +18,8 @@ VARIANTS = {
 }
 FAMILY_DEFAULT = {"tree": "tree", "mlp": "mlp_ohe"}
 OTHER = "__OTHER__"
+#: Columns with more levels than this are looked up by a join, others in an array within the projection.
+ARRAY_LEVELS = 1000
 
 
 def resolve_variant(name: str | None, family: str) -> str:
@@ -44,12 +46,27 @@ class Preprocessor:
     level_fill: dict[str, str] = field(default_factory=dict)
     levels: dict[str, list[str]] = field(default_factory=dict)
     constant_filled: list[str] = field(default_factory=list)
+    #: Trained levels without an indicator of their own (one-hot); they share one.
+    tail: dict[str, list[str]] = field(default_factory=dict)
 
     @property
     def output(self) -> list[str]:
         if VARIANTS[self.variant]["encode"] == "ordinal":
             return [*self.numeric, *self.categorical]
-        return [*self.numeric, *(f"{c}={v}" for c in self.categorical for v in self.levels[c])]
+        return [*self.numeric, *(name for c in self.categorical for name in self.indicators(c))]
+
+    def indicators(self, c: str) -> list[str]:
+        return [*(f"{c}={v}" for v in self.levels[c]), *([f"{c}:{OTHER}"] if self.tail.get(c) else [])]
+
+    def looked_up(self, c: str) -> list[str]:
+        """The levels whose positions the encoding needs."""
+        return self.levels[c] if VARIANTS[self.variant]["encode"] == "ordinal" else self.tail.get(c, [])
+
+    def at(self, c: str, present: bool = True) -> Column:
+        """Position of the cell's level among ``looked_up``, from 0; null or negative if it isn't there."""
+        if len(self.looked_up(c)) > ARRAY_LEVELS:
+            return F.col(f"__at{self.categorical.index(c)}")  # joined by ``placed``
+        return F.array_position(F.array(*map(F.lit, self.looked_up(c))), self.level(c, present)) - 1
 
     def number(self, c: str, present: bool = True) -> Column:
         v = E.py_float(c) if present else F.lit(None).cast("double")
@@ -64,13 +81,15 @@ class Preprocessor:
 
     def ordinal(self, c: str, present: bool = True) -> Column:
         """Position among the sorted levels; a level never seen is -1."""
-        at = F.array_position(F.array(*map(F.lit, self.levels[c])), self.level(c, present)) - 1
-        return at.cast("long")
+        return F.coalesce(self.at(c, present), F.lit(-1)).cast("long")
 
     def onehot(self, c: str, present: bool = True) -> list[Column]:
         """An indicator a level, all zero for a level never seen; the tail shares one."""
         level, seen = self.level(c, present), self.levels[c]
-        return [(level == F.lit(v)).cast("double").alias(f"{c}={v}") for v in seen]
+        own = [(level == F.lit(v)).cast("double") for v in seen]
+        if self.tail.get(c):
+            own.append(F.coalesce(self.at(c, present) >= 0, F.lit(False)).cast("double"))
+        return [x.alias(name) for x, name in zip(own, self.indicators(c))]
 
     def columns(self, present: set[str]) -> list[Column]:
         out = [self.number(c, c in present).alias(c) for c in self.numeric]
@@ -78,9 +97,18 @@ class Preprocessor:
             out += [self.ordinal(c, c in present).alias(c)] if VARIANTS[self.variant]["encode"] == "ordinal" else self.onehot(c, c in present)
         return out
 
+    def placed(self, df: DataFrame) -> DataFrame:
+        """``df`` with the positions that ``columns`` takes from a join, for columns of many levels."""
+        present = set(df.columns)
+        for i, c in enumerate(self.categorical):
+            if len(levels := self.looked_up(c)) > ARRAY_LEVELS:
+                table = df.sparkSession.createDataFrame(list(zip(levels, range(len(levels)))), f"__level{i} string, __at{i} long")
+                df = df.join(table, self.level(c, c in present) == F.col(f"__level{i}"), "left")
+        return df
+
     def transform(self, df: DataFrame, keep: list[str | Column] = ()) -> DataFrame:
         """The matrix; columns that ``df`` lacks are filled, others dropped."""
-        return df.select(*keep, *self.columns(set(df.columns)))
+        return self.placed(df).select(*keep, *self.columns(set(df.columns)))
 
     def to_dict(self) -> dict:
         return asdict(self)
@@ -89,7 +117,9 @@ class Preprocessor:
 def fit(df: DataFrame, numeric: list[str], categorical: list[str], variant: str = "tree", max_levels: int = 50, fit_rows: int | None = None, order: list[str] = ()) -> Preprocessor:
     """Learn from all rows, or from the first ``fit_rows`` in ``order`` for parity with batch fits.
 
-    A column without any number is kept and filled with 0.
+    A column without any number is kept and filled with 0. One-hot gives ``max_levels``
+    columns at most: over that, the last stands for all but the most frequent levels.
+    Ordinals have no limit. The driver holds every level of the categorical columns.
     """
     if fit_rows is not None:
         df = df.orderBy(*order).limit(fit_rows)
@@ -124,13 +154,14 @@ def fit(df: DataFrame, numeric: list[str], categorical: list[str], variant: str
         from pyspark.sql import Window
 
         ranked = counts.withColumn("_r", F.row_number().over(Window.partitionBy("column").orderBy(F.desc("count"), "level")))
-        cap = max_levels if how["encode"] == "onehot" else 100_000
         found: dict[str, list[str]] = {}
-        for r in ranked.where(F.col("_r") <= cap).collect():
+        for r in ranked.orderBy("column", "_r").collect():
             found.setdefault(r["column"], []).append(r["level"])
         for i, c in enumerate(categorical):
             p.level_fill[c] = row[f"c{i}"] if row[f"c{i}"] is not None else "missing"
-            p.levels[c] = sorted(found.get(c, []))
+            every = found.get(c, [])
+            own = len(every) if how["encode"] == "ordinal" or len(every) <= max_levels else max_levels - 1
+            p.levels[c], p.tail[c] = sorted(every[:own]), sorted(every[own:])
     return p
 
 
