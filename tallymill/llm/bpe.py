@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tallymill.llm.common import pieces
+from tallymill.llm.common import only, pieces
 
 START, LETTER, NUMBER, MARK, SPACE, WHITE, QUOTE, R1, V1, L1, SHORT, LONG = range(12)
 STATES = 12
@@ -93,26 +93,28 @@ def _monoid() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array([index[f] for f in base], dtype=np.uint8), compose, np.array(elements, dtype=np.uint8)
 
 
-def states_after(kinds: np.ndarray) -> np.ndarray:
-    """State of the automaton after each class, from START, by a blocked scan."""
-    first, compose, reach = _monoid()
-    n, size = len(kinds), len(compose)
-    if not n:
-        return np.zeros(0, dtype=np.uint8)
+def _composed(own: np.ndarray) -> np.ndarray:
+    """The composition of all functions up to each one: a blocked scan, and one of the blocks' totals."""
+    _, compose, _ = _monoid()
+    n, size, flat = len(own), len(compose), compose.ravel()
     rows = -(-n // BLOCK)
-    own = np.zeros(rows * BLOCK, dtype=np.uint8)
-    own[:n] = first[kinds]
-    own = np.ascontiguousarray(own.reshape(rows, BLOCK).T)
-    flat = compose.ravel()
+    grid = np.zeros(rows * BLOCK, dtype=np.uint8)
+    grid[:n] = own
+    grid = np.ascontiguousarray(grid.reshape(rows, BLOCK).T)
     for j in range(1, BLOCK):
-        own[j] = flat[own[j - 1].astype(np.uint16) * size + own[j]]
-    carry, state = np.empty(rows, dtype=np.uint8), START
-    table, totals = reach.tolist(), own[-1].tolist()
-    for i, f in enumerate(totals):
-        carry[i] = state
-        state = table[f][state]
-    out = reach.ravel()[own.astype(np.uint16) * STATES + carry[None, :]]
-    return np.ascontiguousarray(out.T).ravel()[:n]
+        grid[j] = flat[grid[j - 1].astype(np.uint16) * size + grid[j]]
+    if rows > 1:
+        before = _composed(grid[-1, :-1]).astype(np.uint16) * size
+        grid[:, 1:] = flat[before[None, :] + grid[:, 1:]]
+    return np.ascontiguousarray(grid.T).ravel()[:n]
+
+
+def states_after(kinds: np.ndarray) -> np.ndarray:
+    """State of the automaton after each class, from START."""
+    first, _, reach = _monoid()
+    if not len(kinds):
+        return np.zeros(0, dtype=np.uint8)
+    return reach[:, START][_composed(first[kinds])]
 
 
 @lru_cache(maxsize=1)
@@ -228,29 +230,30 @@ class Merged(dict):
         return out
 
 
-@lru_cache(maxsize=2)
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-@lru_cache(maxsize=2)
-def _cache(path: str, most: int) -> Merged:
-    return Merged(load_ranks(path), most)
+class Tokenizer:
+    """What a worker holds: ranks, the bytes of every id, and slices that were merged before."""
 
+    def __init__(self, path: str, most: int):
+        self.ranks = load_ranks(path)
+        self.vocabulary = [b""] * (max(self.ranks.values(), default=-1) + 1)
+        for token, i in self.ranks.items():
+            self.vocabulary[i] = token
+        self.lengths = np.array([len(x) for x in self.vocabulary], dtype=np.uint32)
+        self.merged = Merged(self.ranks, most)
 
-@lru_cache(maxsize=2)
-def _vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
-    ranks = load_ranks(path)
-    out = [b""] * (max(ranks.values(), default=-1) + 1)
-    for token, i in ranks.items():
-        out[i] = token
-    return out, np.array([len(x) for x in out], dtype=np.uint32)
+
+def tokenizer(path: str, most: int = 150_000) -> Tokenizer:
+    return only(("bpe", path, most), lambda: Tokenizer(path, most))
 
 
 def encode_texts(texts: list[str], path: str, most: int = 150_000) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers."""
-    cache = _cache(path, most)
+    cache = tokenizer(path, most).merged
     found, bounds = split_many(texts)
     parts = list(map(cache.__getitem__, found))
     bounds = bounds.tolist()
@@ -258,8 +261,7 @@ def encode_texts(texts: list[str], path: str, most: int = 150_000) -> list[bytes
 
 
 def decode_ids(ids: bytes, path: str) -> bytes:
-    vocabulary, _ = _vocabulary(path)
-    return b"".join(map(vocabulary.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+    return b"".join(map(tokenizer(path).vocabulary.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
 def decode_span(ids: bytes, offsets: bytes, first: int, last: int, path: str) -> tuple[int, bytes]:
@@ -283,13 +285,12 @@ def encode(docs: DataFrame, path: str | None = None, key: str = "doc_id", text:
     path = path or default_ranks()
 
     def run(batches):
-        _, lengths = _vocabulary(path)
         for batch in pieces(batches):
             texts = [x or "" for x in batch.column("text").to_pylist()]
             ids = encode_texts(texts, path)
             at = []
             for x in ids:
-                size = lengths[np.frombuffer(x, dtype="<u4")]
+                size = tokenizer(path).lengths[np.frombuffer(x, dtype="<u4")]
                 at.append((np.cumsum(size, dtype=np.uint32) - size).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(at, pa.binary())],
@@ -313,3 +314,18 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     kept = encoded.select(*names)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
     return kept.mapInArrow(run, f"{schema}, decoded binary")
+
+
+def round_trip(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_tokens, ids, decoded): ``decode`` of ``encode`` in one Python stage, so that a core has one worker."""
+    path = path or default_ranks()
+
+    def run(batches):
+        for batch in pieces(batches):
+            ids = encode_texts([x or "" for x in batch.column("text").to_pylist()], path)
+            counts = pa.array([len(x) // 4 for x in ids], pa.int64())
+            decoded = pa.array([decode_ids(x, path) for x in ids], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), counts, pa.array(ids, pa.binary()), decoded], names=[key, "n_tokens", "ids", "decoded"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids binary, decoded binary")

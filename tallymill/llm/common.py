@@ -28,14 +28,34 @@ def shared_dir(spark: SparkSession) -> str:
     return found if "://" in found else f"file://{found}"
 
 
+def bounded(spark: SparkSession) -> SparkSession:
+    """The session, with Arrow batches of 1,000 rows where it has Spark's default of 10,000.
+
+    A batch of texts is held several times over, by the JVM and by Python.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+    return spark
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: lineage ends here."""
+def gathered(df: DataFrame, rows: int, each: int = 8_000) -> DataFrame:
+    """``df``, of at most ``rows`` short rows, in no more partitions than ``each`` rows a partition call for."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
+def saved(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again: lineage ends here.
+
+    Where it is known to have at most ``rows`` short rows, it isn't written in more files than they need.
+    """
     spark = df.sparkSession
+    df = df if rows is None else gathered(df, rows)
     path = fresh_dir(spark, name)
     schema = df.schema
     df.write.parquet(path)
@@ -49,6 +69,14 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def spare(taken: list[str], name: str) -> str:
+    """``name``, or the first longer one that no column has (column names ignore case)."""
+    have = {c.lower() for c in taken}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -58,6 +86,20 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+_held: dict = {}
+
+
+def only(key: tuple, make):
+    """What a worker last loaded, under ``key``; what another operator left there is let go.
+
+    Workers live on from stage to stage, so models and caches of all stages would add up.
+    """
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def give_back() -> None:
     """Return freed memory to the system; workers live on from task to task."""
     import ctypes
@@ -86,3 +128,25 @@ def pieces(batches: Iterator[pa.RecordBatch], chars: int = 1 << 20, column: str
             if b > a:
                 yield batch.slice(a, b - a)
     give_back()
+
+
+def bitmap(keys: DataFrame, most_bits: int = 1 << 29) -> bytes:
+    """A filter over the low bits of ``key``: 16 bits a key, rounded up to a power of two, 64 MB at most.
+
+    Past 2^25 keys it lets more rows through, and loses none.
+    """
+    import numpy as np
+
+    bits = min(max(1 << 20, 1 << max(0, 16 * keys.count() - 1).bit_length()), most_bits)
+    place = F.col("key").bitwiseAND(F.lit(bits - 1))
+    blocks = keys.select(F.shiftright(place, 20).cast("int").alias("block"), place.bitwiseAND(F.lit((1 << 20) - 1)).cast("int").alias("bit")).distinct()
+
+    def pack(group: pa.Table) -> pa.Table:
+        on = np.zeros(1 << 20, dtype=bool)
+        on[group["bit"].to_numpy()] = True
+        return pa.table({"block": group["block"].slice(0, 1), "bits": pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())})
+
+    out = bytearray(bits // 8)
+    for row in blocks.groupBy("block").applyInArrow(pack, "block int, bits binary").toLocalIterator():  # 512 rows at most
+        out[row["block"] << 17 : (row["block"] + 1) << 17] = row["bits"]
+    return bytes(out)

@@ -1,55 +1,72 @@
-"""Near duplicates by exact shingle similarity, for the corpus pipeline.
+"""SimHash near-duplicates by exact shingle similarity, for the corpus pipeline.
 
 Two texts are linked if the Jaccard similarity of their sets of five-word shingles
 (lower-cased A-Z, words as in ``simhash``; fewer words: the whole sequence) is 0.8 or
-more. Links are transitive; one row of each group stays.
-
-Candidates: a text's set has BANDS x DEPTH minima of hashes; two sets that share all
-DEPTH minima of a band are compared. A pair at similarity s is passed over with
-probability (1 - s^DEPTH)^BANDS: 5e-8 at 0.8. Bits of one 64-bit fingerprint can't do
-this: at similarity 0.8 they differ by 10 with a deviation of 3, and a grid for a
-radius that wide selects nothing.
-
-Every candidate is verified on the texts. Equal sets are one node. Each bucket's nodes
-are first compared with its smallest and largest one; then only those pairs of a bucket
-are left whose groups differ, so that a large group of near copies costs few pairs.
-
-A null text is empty; all empty texts are one group. Null doc_ids take part. Other
-columns are ignored and kept.
+more. Links are transitive; one row of each group stays. Equal sets are one node.
+
+Candidates come in three steps, and every one is verified on the texts:
+
+1. ``simhash``: nodes whose five-word fingerprints are equal or meet in the grid join.
+2. Bits of a 64-bit fingerprint can't reach down to 0.8 (there they differ by 10 with a
+   deviation of 3, and a grid for a radius that wide selects nothing), so the rest comes
+   from BANDS x DEPTH minima of hashes: sets that share all DEPTH minima of a band are in
+   a bucket. A pair at similarity s is passed over with probability (1 - s^DEPTH)^BANDS:
+   5e-8 at 0.8. In buckets that still hold several groups, each node is compared with the
+   bucket's smallest and largest group.
+3. Only those pairs of a bucket are left whose groups still differ. Their nodes get LONG
+   minima of four bits each; a pair whose minima differ in more than MOST_APART of them
+   is left out where it is met, before any text is looked at. At 0.8 they differ in 96 on
+   average with a deviation of 8.8: the limit is 5.5 deviations out. Many texts that are
+   near copies of one but less than 0.8 alike cost comparisons of bits, not of texts.
+
+A set whose size is under 0.8 of another's can't be similar to it and isn't compared.
+A large group of near copies so costs few pairs. A null text is empty; all empty texts
+are one group. Null doc_ids take part. Other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymill.llm.common import fresh_dir, open_fs, pieces, saved, texts_of
-from tallymill.llm.ngram import map_arrays, write_arrays
-from tallymill.llm.simhash import components, shingle_hashes
+from tallymill.llm import simhash
+from tallymill.llm.common import bitmap, pieces, saved, texts_of
+from tallymill.llm.simhash import components, prints_of, shingle_hashes
 
 SIZE = 5
 LEAST = 0.8
 BANDS, DEPTH = 32, 4
-PARTS = 16  # of the candidates' hashes, by the top four bits
-BLOCK = 4096  # hashes at once, for bounded memory
+LONG, MOST_APART = 512, 145
+BLOCK = 512  # hashes at once, for bounded memory and the processor's cache
+_RANDOM = np.random.default_rng(42)
+FACTOR = _RANDOM.integers(0, 1 << 63, LONG, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+SHIFT = _RANDOM.integers(0, 1 << 63, LONG, dtype=np.uint64)
 
 
 def shingle_set(text: bytes, size: int = SIZE) -> np.ndarray:
     """Sorted distinct hashes of the text's shingles."""
-    return np.unique(np.array(shingle_hashes(text, size), dtype=np.uint64))
+    return np.unique(shingle_hashes(text, size))
 
 
-def bands_of(own: np.ndarray) -> np.ndarray:
-    """One key a band, from the minima of a set under BANDS * DEPTH orders."""
-    rng = np.random.default_rng(42)
-    factor = rng.integers(0, 1 << 63, BANDS * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    shift = rng.integers(0, 1 << 63, BANDS * DEPTH, dtype=np.uint64)
-    least = np.full(BANDS * DEPTH, np.iinfo(np.uint64).max, dtype=np.uint64)
+def minima(own: np.ndarray, orders: int) -> np.ndarray:
+    """The least values of a set under so many orders."""
+    least = np.full(orders, np.iinfo(np.uint64).max, dtype=np.uint64)
+    room = np.empty((orders, min(BLOCK, len(own))), dtype=np.uint64)
     for a in range(0, len(own), BLOCK):
+        block = own[None, a : a + BLOCK]
+        values = room[:, : block.shape[1]]
         # The shift spreads bits before the product, as the hash 0 of an empty text is a fixed point of it.
-        least = np.minimum(least, ((own[None, a : a + BLOCK] ^ shift[:, None]) * factor[:, None]).min(axis=1))
+        np.bitwise_xor(block, SHIFT[:orders, None], out=values)
+        np.multiply(values, FACTOR[:orders, None], out=values)
+        np.minimum(least, values.min(axis=1), out=least)
+    return least
+
+
+def bands_of(own: np.ndarray) -> np.ndarray:
+    """One key a band, from the minima of a set under BANDS * DEPTH orders."""
+    least = minima(own, BANDS * DEPTH)
     keys = np.arange(BANDS, dtype=np.uint64)
     for m in least.reshape(BANDS, DEPTH).T:
         keys = (keys ^ m) * np.uint64(0x9E3779B97F4A7C15)
@@ -57,76 +74,100 @@ def bands_of(own: np.ndarray) -> np.ndarray:
     return keys
 
 
+def signature_of(own: np.ndarray) -> np.ndarray:
+    """Four mixed bits of each of LONG minima, sixteen to a word."""
+    least = minima(own, LONG)
+    least = (least ^ (least >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(60)
+    return np.bitwise_or.reduce(least.reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=1)
+
+
+def apart(x: str, y: str) -> Column:
+    """In how many places the signatures of both sides of a join differ."""
+    out = F.lit(0)
+    for i in range(LONG // 16):
+        v = F.col(f"{x}.s{i}").bitwiseXOR(F.col(f"{y}.s{i}"))
+        v = v.bitwiseOR(F.shiftrightunsigned(v, 1))
+        v = v.bitwiseOR(F.shiftrightunsigned(v, 2))
+        out = out + F.bit_count(v.bitwiseAND(F.lit(0x1111111111111111)))
+    return out
+
+
+def signatures(texts: DataFrame, size: int = SIZE) -> DataFrame:
+    """(node, s0, s1, ...) of (node, text)."""
+    names = [f"s{i}" for i in range(LONG // 16)]
+
+    def run(batches):
+        for batch in pieces(batches):
+            rows = np.stack([signature_of(shingle_set(t, size)) for t in texts_of(batch.column("text"))]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), *(pa.array(rows[:, i]) for i in range(len(names)))], names=["node", *names])
+
+    return texts.select("node", "text").mapInArrow(run, ", ".join(f"{n} long" for n in ("node", *names)))
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (len(a) + len(b) - both)
 
 
 def sketches(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """(doc_id, text_hash, node, bands): equal shingle sets have one node."""
+    """(doc_id, text_hash, node, fp, count, bands): equal shingle sets have one node."""
 
     def run(batches):
         from xxhash import xxh3_64_intdigest
 
         for batch in pieces(batches):
             nodes, bands = np.zeros(batch.num_rows, dtype=np.uint64), np.zeros((batch.num_rows, BANDS), dtype=np.uint64)
+            counts, held, prints = np.zeros(batch.num_rows, dtype=np.int64), [], []
             for i, text in enumerate(texts_of(batch.column("text"))):
-                own = shingle_set(text, size)
-                nodes[i], bands[i] = xxh3_64_intdigest(own.tobytes()), bands_of(own)
+                held.append(shingle_hashes(text, size))
+                own = np.unique(held[-1])
+                nodes[i], bands[i], counts[i] = xxh3_64_intdigest(own.tobytes()), bands_of(own), len(own)
+                if sum(map(len, held[-32:])) > 1 << 16 or len(held) == 32:
+                    prints.append(prints_of(held))
+                    held = []
+            prints = np.concatenate([*prints, prints_of(held)])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(nodes.view(np.int64)), lists], names=["doc_id", "text_hash", "node", "bands"])
+            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(nodes.view(np.int64)), pa.array(prints.astype("<u8").view("<i8")), pa.array(counts), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "node", "fp", "count", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, node long, bands array<long>")
+    schema = f"doc_id {kind}, text_hash long, node long, fp long, count long, bands array<long>"
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema)
 
 
 def texts_at(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, text) of the ``wanted`` (node, text_hash); only their texts are shuffled."""
-    folder = fresh_dir(docs.sparkSession, "wanted")
-    fs, path = open_fs(folder)
-    fs.create_dir(path, recursive=True)
-
-    def write(group: pa.Table) -> pa.Table:
-        from pyspark import TaskContext
+    """(node, text) of the ``wanted`` (node, key), where key is a hash of doc_id and of the text.
 
-        hashes = group["text_hash"].to_numpy()
-        order = np.argsort(hashes)
-        part = group["part"][0].as_py()
-        name = write_arrays(folder, f"wanted-{part:02d}-{TaskContext.get().taskAttemptId()}", {"hash": hashes[order], "node": group["node"].to_numpy()[order]})
-        return pa.table({"part": pa.array([part], pa.int32()), "name": [name]})
-
-    parted = wanted.select("node", "text_hash", F.shiftrightunsigned("text_hash", 60).cast("int").alias("part"))
-    names = {r["part"]: r["name"] for r in saved(parted.groupBy("part").applyInArrow(write, "part int, name string"), "wanted-files").collect()}  # 16 rows
+    A filter of bounded size keeps most other texts out of the shuffle. Copies have keys of their
+    own, as their doc_ids differ, so a large group of them doesn't meet in one task.
+    """
+    spark = docs.sparkSession
+    held = spark.sparkContext.broadcast(bitmap(wanted.select("key")))
 
     def run(batches):
-        held = {p: map_arrays(folder, n) for p, n in names.items()}
+        on = np.frombuffer(held.value, dtype=np.uint8)
         for batch in batches:
-            hashes = batch.column("text_hash").to_numpy()
-            part, hit, nodes = hashes.view(np.uint64) >> np.uint64(60), np.zeros(len(hashes), dtype=bool), np.zeros(len(hashes), dtype=np.int64)
-            for p, arrays in held.items():
-                own = np.flatnonzero(part == p)
-                at = np.minimum(np.searchsorted(arrays["hash"], hashes[own]), len(arrays["hash"]) - 1)
-                hit[own], nodes[own] = arrays["hash"][at] == hashes[own], arrays["node"][at]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), batch.column("text")], names=["node", "text"]).filter(pa.array(hit))
+            at = batch.column("key").to_numpy() & np.int64(8 * len(on) - 1)
+            yield batch.filter(pa.array((on[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
 
-    rows = docs.select(F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "node long, text string")
-    return rows.groupBy("node").agg(F.first("text").alias("text"))
+    rows = docs.select(F.xxhash64("doc_id", F.xxhash64("text")).alias("key"), "text").mapInArrow(run, "key long, text string")
+    return rows.join(wanted, "key").groupBy("key").agg(F.first("node").alias("node"), F.first("text").alias("text")).select("node", "text")
 
 
 def similar(pairs: DataFrame, texts: DataFrame, size: int = SIZE, least: float = LEAST) -> DataFrame:
     """The ``pairs`` (a, b) of nodes whose texts are at least so similar."""
 
     def run(batches):
-        for batch in pieces(batches, column="text_a"):
+        for batch in pieces(batches, column="text_b"):
             keep, last, own = [], None, None
             for a, b in zip(texts_of(batch.column("text_a")), texts_of(batch.column("text_b"))):
-                if a != last:
+                if a != last:  # the join on a comes last, so its pairs follow each other
                     last, own = a, shingle_set(a, size)
                 keep.append(jaccard(own, shingle_set(b, size)) >= least)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    first = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    both = first.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    first = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    both = first.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
@@ -134,23 +175,57 @@ def ordered(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def alike(x: str, y: str, least: float) -> Column:
+    """Whether sets of so many shingles can be similar."""
+    return F.least(x, y) >= F.greatest(x, y) * F.lit(least - 1e-9)
+
+
+def by_prints(nodes: DataFrame, least: float) -> DataFrame:
+    """(a, b): nodes of one fingerprint, and of the nearest other one within its radius."""
+    prints = saved(nodes.groupBy("fp").agg(F.min(F.struct("node", "count")).alias("rep")), "prints", nodes.count())
+    same = nodes.join(prints, "fp").where(F.col("node") != F.col("rep.node"))
+    near = simhash.nearest(prints.select("fp", F.col("fp").alias("root"))).select("a", "b")
+    ends = [prints.select(F.col("fp").alias(x), F.col("rep.node").alias(f"node_{x}"), F.col("rep.count").alias(f"count_{x}")) for x in ("a", "b")]
+    near = near.join(ends[0], "a").join(ends[1], "b").where(alike("count_a", "count_b", least))
+    same = same.where(alike("count", "rep.count", least)).select(*ordered("node", "rep.node"))
+    return near.select(*ordered("node_a", "node_b")).union(same).distinct()
+
+
 def roots(nodes: DataFrame, docs: DataFrame, size: int = SIZE, least: float = LEAST) -> DataFrame:
-    """(node, root) of the nodes that have a similar one; ``nodes`` has node, text_hash and bands."""
-    rows = nodes.select("node", F.explode("bands").alias("key"))
-    ends = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    members = saved(rows.join(ends, "key"), "buckets")
-    texts = saved(texts_at(docs, nodes.join(members.select("node").distinct(), "node", "left_semi")), "texts")
-    stars = members.select(*ordered("node", "lo")).union(members.select(*ordered("node", "hi"))).where("a < b").distinct()
-    stars = saved(stars, "stars")
-    links = saved(similar(stars, texts, size, least), "links")
+    """(node, root) of the nodes that have a similar one; ``nodes`` has node, key, fp, count and bands."""
+    first = saved(by_prints(nodes.select("node", "fp", "count"), least), "print-pairs", 2 * nodes.count())
+    rows = nodes.select("node", "count", F.explode("bands").alias("key"))
+    shared = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
+    members = saved(rows.join(shared, "key"), "buckets")
+    wanted = members.select("node").union(first.select("a")).union(first.select("b")).distinct()
+    texts = saved(texts_at(docs, nodes.select("node", "key").join(wanted, "node", "left_semi")), "texts")
+    links = saved(similar(first, texts, size, least), "print-links", 4 * first.count())
     found = components(links)
-    placed = members.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+
+    placed = members.join(found, "node", "left").select("key", "node", "count", F.coalesce("root", "node").alias("root"))
+    ends = placed.groupBy("key").agg(*(f(F.struct("root", "node", "count")).alias(n) for f, n in ((F.min, "lo"), (F.max, "hi")))).where("lo.root < hi.root")
+    open_ = placed.join(ends, "key")
+    stars = None
+    for end in ("lo", "hi"):
+        part = open_.where((F.col("root") != F.col(f"{end}.root")) & alike("count", f"{end}.count", least)).select(*ordered("node", f"{end}.node"))
+        stars = part if stars is None else stars.union(part)
+    stars = saved(stars.distinct().join(first, ["a", "b"], "left_anti"), "stars", 2 * members.count())
+    more = saved(similar(stars, texts, size, least), "star-links", 4 * stars.count())
+    if not more.isEmpty():
+        links = links.union(more)
+        found = components(links)
+
+    placed = members.join(found, "node", "left").select("key", "node", "count", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    rest = saved(placed.join(mixed, "key", "left_semi"), "mixed")
+    rest = placed.join(mixed, "key", "left_semi")
+    open_texts = texts.join(rest.select("node").distinct(), "node", "left_semi")
+    rest = saved(rest.join(saved(signatures(open_texts, size), "signatures"), "node"), "mixed")
     x, y = rest.alias("x"), rest.alias("y")
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")))
-    cross = cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = saved(similar(cross, texts, size, least), "more-links")
+    near = (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & alike("x.count", "y.count", least) & (apart("x", "y") <= MOST_APART)
+    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & near)
+    cross = cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    cross = cross.join(stars, ["a", "b"], "left_anti").join(first, ["a", "b"], "left_anti")
+    more = saved(similar(cross, texts, size, least), "cross-links")
     return found if more.isEmpty() else components(links.union(more))
 
 
@@ -158,13 +233,11 @@ def keep_one(docs: DataFrame, size: int = SIZE, least: float = LEAST) -> DataFra
     """The rows of ``docs``, one of each group of near duplicates: the one with the smallest doc_id."""
     prints = saved(sketches(docs, size), "sketches")
     known = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash")))
-    nodes = prints.groupBy("node").agg(known.alias("__first"), F.min(F.struct("doc_id", "text_hash")).alias("__any"), F.first("bands").alias("bands"))
-    nodes = saved(nodes.select("node", F.coalesce("__first", "__any").alias("first"), "bands"), "nodes")
-    found = roots(nodes.select("node", F.col("first.text_hash").alias("text_hash"), "bands"), docs, size, least)
+    same = [F.first(c).alias(c) for c in ("fp", "count", "bands")]  # copies of a node may differ in fp alone: repeats count there
+    nodes = prints.groupBy("node").agg(known.alias("__first"), F.min(F.struct("doc_id", "text_hash")).alias("__any"), *same)
+    nodes = saved(nodes.select("node", F.coalesce("__first", "__any").alias("first"), "fp", "count", "bands"), "nodes")
+    key = F.xxhash64("first.doc_id", "first.text_hash").alias("key")
+    found = roots(nodes.select("node", key, "fp", "count", "bands"), docs, size, least)
     placed = nodes.select("node", "first").join(found, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     least_of = placed.groupBy("root").agg(F.min(F.when(F.col("first.doc_id").isNotNull(), F.col("first"))).alias("__first"), F.min("first").alias("__any"))
-    keepers = least_of.select(F.coalesce("__first", "__any").alias("keeper")).select(F.col("keeper.doc_id").alias("__id"), F.col("keeper.text_hash").alias("__hash"))
-    rows = docs.withColumn("__own", F.xxhash64("text"))
-    kept = rows.join(keepers, rows["doc_id"].eqNullSafe(keepers["__id"]) & (rows["__own"] == keepers["__hash"]), "left_semi")
-    first = Window.partitionBy("doc_id", "__own").orderBy(F.lit(0))
-    return kept.withColumn("__row", F.row_number().over(first)).where("__row = 1").drop("__row", "__own")
+    return simhash.rows_of(docs, least_of.select(F.coalesce("__first", "__any").alias("keeper")).select("keeper.*"))

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.llm import eliasfano as ef
-from tallymill.llm.common import fresh_dir, open_fs, pieces, saved, texts_of
+from tallymill.llm.common import fresh_dir, only, open_fs, pieces, saved, texts_of
 
 PARTS = 16  # of the vocabulary, by the top four bits of the hash
 END = b"\n"  # no word holds it
@@ -156,19 +156,8 @@ class Vocabulary:
         return out
 
 
-_held: dict = {}
-
-
-def _only(key: tuple, make):
-    """What a worker last loaded; anything older is let go, so caches don't add up."""
-    if key not in _held:
-        _held.clear()
-        _held[key] = make()
-    return _held[key]
-
-
 def _vocabulary(folder: str, names: tuple, sizes: tuple) -> Vocabulary:
-    return _only(("words", folder), lambda: Vocabulary(folder, list(names), list(sizes)))
+    return only(("words", folder), lambda: Vocabulary(folder, list(names), list(sizes)))
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -403,7 +392,7 @@ class Model:
 
 
 def _model(folder: str) -> Model:
-    return _only(("model", folder), lambda: Model(folder))
+    return only(("model", folder), lambda: Model(folder))
 
 
 def train(docs: DataFrame, tokens: int = 1_000_000, folder: str | None = None) -> str:

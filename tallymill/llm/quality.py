@@ -6,8 +6,8 @@ conjunctive rule; a lasso logistic regression keeps few rules with weights; and
 kept rules are compiled into one Spark column expression that scores all rows.
 
 Training reads at most ``bound`` labelled rows (20,000 by default: those with the
-lowest hash of doc_id), a documented bound; scoring covers every row. Labels of a
-repeated doc_id are averaged. Without labels of both classes the score is the
+lowest hash of doc_id), a documented bound; scoring covers every row. Labels and
+statistics of a repeated doc_id are averaged. Without labels of both classes the score is the
 smoothed label share.
 
 A null or empty text has zero statistics and a score like any other. Ties and
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from tallymill.llm.common import pieces, texts_of
+from tallymill.llm.common import pieces, spare, texts_of
 
 STATS = (
     "log_bytes", "log_words", "word_bytes", "long_words", "unique_words", "top_word", "pair_repeats", "lines", "line_bytes", "repeated_lines", "upper",
@@ -224,12 +224,15 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 20_000, target: str = "
     known = known.groupBy("doc_id").agg((F.avg(target) >= 0.5).cast("int").alias("__label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # ``bound`` rows at most
-    rows = with_statistics(texts).select("doc_id", "__label", "__stats").orderBy("doc_id", "__stats").collect() if bound else []
-    x = np.array([r["__stats"] for r in rows]).reshape(-1, len(STATS))
-    return fit_statistics(x, np.array([r["__label"] for r in rows], dtype=np.float64))
+    means = [F.round(F.avg(F.get("__stats", F.lit(i))), 9).alias(f"s{i}") for i in range(len(STATS))]
+    each = with_statistics(texts).groupBy("doc_id").agg(F.first("__label").alias("label"), *means)  # a row a label, however often its doc_id occurs
+    rows = each.orderBy("doc_id").collect() if bound else []
+    x = np.array([[r[f"s{i}"] for i in range(len(STATS))] for r in rows]).reshape(-1, len(STATS))
+    return fit_statistics(x, np.array([r["label"] for r in rows], dtype=np.float64))
 
 
 def score_rows(docs: DataFrame, model: RuleModel, name: str = "score") -> DataFrame:
-    """All columns of ``docs`` and the score."""
-    spare = next(x for x in ("__stats", *(f"__stats{i}" for i in range(99))) if x not in docs.columns)
-    return with_statistics(docs, spare).select(*(F.col(f"`{c}`") for c in docs.columns), model.column(F.col(spare)).alias(name))
+    """All columns of ``docs`` and the score; a column that is named like it already is replaced."""
+    stats = spare(docs.columns, "__stats")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() != name.lower()]
+    return with_statistics(docs, stats).select(*kept, model.column(F.col(stats)).alias(name))
