@@ -3,11 +3,20 @@
 The templates' words are one automaton's alphabet. Streaming a file's words
 through it gives matching statistics: the longest piece of any template that ends
 at each word. Maximal matches of ``least`` words or more are chained, template by
-template, into covered spans; the share of a template that its chain covers is the
-score. Base phrases are in the automaton too: a phrase stands at a word where the
-match is long enough and the phrase's state is on the suffix path.
+template, into covered spans; the share of a template that a chain covers is its
+score. A template may stand in a text several times: of the chains that reach
+``share``, those that cover most are kept first, others where they don't overlap
+them. A span that a span of another label overlaps by more than half and covers
+better is dropped, as related licences share most of their words. Base phrases are
+in the automaton too: a phrase stands at a word where the match is long enough and
+the phrase's state is on the suffix path.
 
-Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z.
+The built-in templates are notices and short licences; ``templates_of`` reads any
+inventory, with whole licences, from a table. The automaton has at most two states a
+template word. Where pieces end in the templates is one flat list in the order of
+the suffix-link tree, a slice a state, so build time and memory grow with the words.
+
+Words are ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after lower-casing A-Z.
 
 A null text has no words. Repeated rows give repeated results, an empty table an
 empty one; other columns are ignored. The automaton's size depends on the
@@ -16,12 +25,13 @@ templates alone; a task holds one batch of texts.
 
 from __future__ import annotations
 
-from functools import lru_cache
+import bisect
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tallymill.llm.common import pieces, texts_of
+from tallymill.llm.common import only, pieces, texts_of
 
 #: Phrase and label, as the contract has them.
 PHRASES = (
@@ -53,10 +63,68 @@ TEMPLATES = (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
         "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ),
+    (
+        "mit",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        "The Software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of "
+        "merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable "
+        "for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection "
+        "with the Software or the use or other dealings in the Software.",
+    ),
+    (
+        "gpl",
+        "This program is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of "
+        "merchantability or fitness for a particular purpose. See the GNU General Public License for more details.",
+    ),
+    (
+        "lgpl",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ),
+    (
+        "agpl",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
     (
         "bsd",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     ),
+    (
+        "bsd",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution.",
+    ),
+    (
+        "bsd",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
+        "this software without specific prior written permission.",
+    ),
+    (
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
+        "the above copyright notice and this permission notice appear in all copies.",
+    ),
+    (
+        "zlib",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and "
+        "redistribute it freely, subject to the following restrictions",
+    ),
+    (
+        "boost-1",
+        "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)",
+    ),
+    (
+        "unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, "
+        "or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ),
+    (
+        "cc0",
+        "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this work to the public "
+        "domain worldwide. This work is distributed without any warranty.",
+    ),
     (
         "mpl-2",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed "
@@ -78,22 +146,42 @@ class Automaton:
     def __init__(self, sequences: list[list[int]]):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.ends: list[list[tuple[int, int]]] = [[]]  # (sequence, position after the word) of each state
+        ended: list[tuple[int, int, int]] = []  # (state, sequence, position after the word)
         for number, sequence in enumerate(sequences):
             last = 0
             for at, token in enumerate(sequence):
                 last = self._extend(last, token)
-                self.ends[last].append((number, at + 1))
-        order = sorted(range(len(self.link)), key=self.length.__getitem__, reverse=True)
-        for state in order:  # where a string ends, its suffixes end too
-            if self.link[state] >= 0:
-                self.ends[self.link[state]] = list(dict.fromkeys(self.ends[self.link[state]] + self.ends[state]))
+                ended.append((last, number, at + 1))
+        # Where a string ends, its suffixes end too: a state's places are those of its subtree of
+        # suffix links, a slice of all places in the order in which a walk leaves the states.
+        below: list[list[int]] = [[] for _ in self.link]
+        for state, up in enumerate(self.link):
+            if up >= 0:
+                below[up].append(state)
+        own: dict[int, list[tuple[int, int]]] = {}
+        for state, number, stop in ended:
+            own.setdefault(state, []).append((number, stop))
+        self.places: list[tuple[int, int]] = []
+        self.first, self.last = [0] * len(self.link), [0] * len(self.link)
+        walk = [0]
+        while walk:
+            state = walk.pop()
+            if state >= 0:
+                self.first[state] = len(self.places)
+                self.places += own.get(state, ())
+                walk.append(~state)
+                walk += below[state]
+            else:
+                self.last[~state] = len(self.places)
+
+    def ends(self, state: int) -> list[tuple[int, int]]:
+        """(sequence, position after the word) wherever the state's strings end."""
+        return self.places[self.first[state] : self.last[state]]
 
     def _new(self, length: int) -> int:
         self.next.append({})
         self.link.append(-1)
         self.length.append(length)
-        self.ends.append([])
         return len(self.link) - 1
 
     def _clone(self, state: int, target: int, token: int) -> int:
@@ -139,13 +227,11 @@ class Scanner:
             for token in coded[number]:
                 state = auto.next[state][token]
             whole.setdefault(state, []).append((number - first, len(coded[number])))
-        self.phrases_at: list[list[tuple[int, int]]] = []
-        for state in range(len(auto.link)):
-            found, up = [], state
-            while up > 0:
-                found += whole.get(up, [])
-                up = auto.link[up]
-            self.phrases_at.append(found)
+        # A state has its link's phrases and its own; most share their link's list.
+        self.phrases_at: list[list[tuple[int, int]]] = [[] for _ in auto.link]
+        for state in sorted(range(1, len(auto.link)), key=auto.length.__getitem__):
+            up = self.phrases_at[auto.link[state]]
+            self.phrases_at[state] = [*whole[state], *up] if state in whole else up
 
     def matches(self, words: list[bytes]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
         """(maximal matches as (end, length, state), phrase places as (start, phrase)).
@@ -178,39 +264,70 @@ class Scanner:
                 places += [(at + 1 - n, p) for p, n in self.phrases_at[state] if n <= length]
         return long, places
 
-    def covered(self, long: list[tuple[int, int, int]]) -> dict[int, tuple[float, int, int]]:
-        """Template -> (share covered by its best chain, first word, word after the last).
+    def chains(self, long: list[tuple[int, int, int]]) -> dict[int, list[tuple[int, int, int]]]:
+        """Template -> (words covered, first word, word after the last) of the best chain that ends at each match.
 
         A chain keeps the order of the template and of the file, with gaps in the
         file of at most the template's length.
         """
         by: dict[int, list[tuple[int, int, int, int]]] = {}
         for end, length, state in long:
-            for template, stop in self.auto.ends[state]:
+            for template, stop in self.auto.ends(state):
                 if template < len(self.labels):
                     by.setdefault(template, []).append((end - length, end, stop - length, stop))
-        best: dict[int, tuple[float, int, int]] = {}
+        out: dict[int, list[tuple[int, int, int]]] = {}
         for template, found in by.items():
-            size, open_chains = self.sizes[template], []
+            size, open_chains, ended = self.sizes[template], [], []
             for a, b, c, d in sorted(found):
                 open_chains = [x for x in open_chains if a - x[1] <= size]
                 gain, start = d - c, a
                 for begin, stop, reached, sum_ in open_chains:
-                    if reached < d and stop <= b and (more := sum_ + d - max(c, reached)) > gain:
+                    if reached < d and stop < b and (more := sum_ + d - max(c, reached)) > gain:
                         gain, start = more, begin
                 open_chains.append((start, b, d, gain))
-                if gain / size > best.get(template, (0,))[0]:
-                    best[template] = (gain / size, start, b)
-        return best
+                ended.append((gain, start, b))
+            out[template] = ended
+        return out
+
+    def spans(self, chains: dict[int, list[tuple[int, int, int]]]) -> list[tuple[int, int, int, float]]:
+        """(first word, word after the last, template, share) of the chains that are kept."""
+        kept = []
+        for template, ended in chains.items():
+            size, taken = self.sizes[template], []  # taken: (begin, end), in order, none overlapping
+            for gain, start, stop in sorted(ended, key=lambda x: (-x[0], x[1], x[2])):
+                if gain < self.share * size:
+                    break
+                at = bisect.bisect_left(taken, (start, stop))
+                if (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or taken[at][0] >= stop):
+                    taken.insert(at, (start, stop))
+                    kept.append((start, stop, template, min(1.0, gain / size)))
+        kept.sort()
+        reach = max((stop - start for start, stop, _, _ in kept), default=0)
+        out = []
+        for i, (start, stop, template, share) in enumerate(kept):
+            low, high = i, i + 1
+            while low and kept[low - 1][0] > start - reach:
+                low -= 1
+            while high < len(kept) and kept[high][0] < stop:
+                high += 1
+            beaten = any(
+                self.labels[other] != self.labels[template] and more > share and 2 * (min(b, stop) - max(a, start)) > stop - start
+                for a, b, other, more in kept[low:high]
+            )
+            if not beaten:
+                out.append((start, stop, template, share))
+        return out
 
     def scan(self, text: bytes) -> dict:
         words = words_of(text)
         long, places = self.matches(words)
         base = {self.phrase_labels[p] for _, p in places}
-        best = self.covered(long)
-        more = {self.labels[t] for t, (share, _, _) in best.items() if share >= self.share}
-        score = max([1.0 if places else 0.0, *(min(1.0, x[0]) for x in best.values())])
-        spans = sorted({(a, b, self.labels[t]) for t, (share, a, b) in best.items() if share >= self.share})
+        chains = self.chains(long)
+        kept = self.spans(chains)
+        more = {self.labels[t] for _, _, t, _ in kept}
+        best = [min(1.0, max(gain for gain, _, _ in ended) / self.sizes[t]) for t, ended in chains.items()]
+        score = max([1.0 if places else 0.0, *best])
+        spans = sorted({(a, b, self.labels[t]) for a, b, t, _ in kept})
         return {
             "n_words": len(words),
             "n_base": len(places),
@@ -223,9 +340,20 @@ class Scanner:
         }
 
 
-@lru_cache(maxsize=4)
+def templates_of(table: DataFrame, label: str = "label", text: str = "text", most_words: int = 5_000_000) -> tuple[tuple[str, str], ...]:
+    """An inventory from a table, for ``scan``: the driver holds it and sends it to the executors.
+
+    Its words are counted first; over ``most_words`` is a ValueError. Null or empty texts are left out.
+    """
+    rows = table.select(F.col(label).alias("label"), F.col(text).alias("text")).where(F.col("label").isNotNull() & (F.length("text") > 0)).distinct()
+    words = rows.agg(F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0))).first()[0]
+    if words > most_words:
+        raise ValueError(f"{words} words of templates; at most {most_words} are allowed")
+    return tuple((r["label"], r["text"]) for r in rows.orderBy("label", "text").collect())
+
+
 def _scanner(templates, phrases, least, share) -> Scanner:
-    return Scanner(templates, phrases, least, share)
+    return only(("licences", templates, phrases, least, share), lambda: Scanner(templates, phrases, least, share))
 
 
 RESULT = pa.schema(
