@@ -47,3 +47,34 @@ def test_files_prune(spark, real, tmp_path):
     boxes = boxes.collect()
     assert len(boxes) == 8 and sum(b["rows"] for b in boxes) == real.count()
     assert any(b["high_axis_0"] - b["low_axis_0"] < 15 for b in boxes)
+
+
+def test_repeats_spread_over_slices(spark):
+    """A row that is there 150,000 times, beside others in its cell."""
+    from pyspark.sql import functions as F
+
+    hot = spark.range(150_000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("same").alias("text"), F.lit("s").alias("source"), F.lit("en").alias("lang"))
+    rest = spark.range(1000).select("id", F.concat(F.lit("t"), "id"), F.lit("s"), F.lit("en"))
+    rows = hilbert.assign(hot.union(rest), 7).collect()
+    counts = Counter(r["shard"] for r in rows)
+    assert len(rows) == 151_000 and max(counts.values()) - min(counts.values()) <= 1
+    for shard in counts:
+        assert sorted(r["slot"] for r in rows if r["shard"] == shard) == list(range(counts[shard]))
+    assert sum(r["doc_id"] == 5 and r["text_crc32"] == zlib.crc32(b"same") for r in rows) == 150_000
+
+
+def test_text_ids(spark, real):
+    rows = hilbert.assign(real.withColumn("doc_id", hilbert.F.concat(hilbert.F.lit("d"), "doc_id")), 4).collect()
+    counts = Counter(r["shard"] for r in rows)
+    assert sum(counts.values()) == real.count() and max(counts.values()) - min(counts.values()) <= 1
+
+
+def test_query_columns(spark):
+    """The query's own columns: law, no grown shard, shards and slots, equal texts as they are."""
+    from tallymill.llm.queries import op2_hilbert_shards
+
+    sf = "/root/testdata/sf0.001"
+    rows = op2_hilbert_shards(spark, sf).collect()
+    docs = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    assert {r["law"] for r in rows} == {"rows"} and {r["grown_shard"] for r in rows} == {None} and {r["shard"] for r in rows} == set(range(40))
+    assert sorted((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == sorted((k, len(t) + 16, zlib.crc32(t)) for k, t in docs.items())
