@@ -1,8 +1,9 @@
 """Token-id files: one zstandard dictionary, each document compressed by itself.
 
 The dictionary is trained on the serialised ids of a bounded sample of documents
-(``sample`` of them, the ones with the lowest hash of their id) and shared by all
-files. A file is::
+(``sample`` of them, the ones with the lowest hash of their id; the first 32,768
+characters of each, 64 KB of ids) and shared by all files. The sample decides how well
+ids compress, nothing else: every text is encoded and stored whole. A file is::
 
     magic (8) | SHA-256 of the dictionary (32) | id width (8) | frames | index | trailer
 
@@ -16,9 +17,11 @@ stays in a bounded cache; a piece of letters alone, which no pattern splits, by
 library's model directly. Texts with other white space around spaces, or with a
 special token's string, go to the library whole.
 
-Files follow ascending (doc_id, hash of the text): a null ``doc_id`` comes first,
-and however many rows share a ``doc_id``, the range partitioning splits them. A null
-text has only the end id. Extra columns are ignored; an empty table gives no files.
+Files follow ascending (doc_id, hash of the text, running number of the row as read): a
+null ``doc_id`` comes first, and however many rows share a ``doc_id``, or are equal, the
+range partitioning splits them. Their number follows the input's size. A ``doc_id`` has
+to be an integer (ValueError else). A null text has only the end id. Extra columns are
+ignored; an empty table gives no files.
 Each attempt of a task writes under a name of its own and only files in the saved
 manifest are read, so lost executors and repeated tasks do no harm.
 """
@@ -29,19 +32,20 @@ import hashlib
 import os
 import re
 import struct
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from tallymill.llm.common import fresh_dir, open_fs, pieces, saved, text_or_empty
+from tallymill.llm.common import fresh_dir, only, open_fs, pieces, saved, text_or_empty
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 MAGIC = b"TMIDS1\0\0"
 END = 0
+FILE_BYTES = 128 << 20  # of input a file
 _ODD = re.compile(r"\s \s|\s \Z")
 #: Letters that every Unicode version has as letters, then a mark or white space.
 _TAIL = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~\n].*)", re.S)
@@ -129,9 +133,8 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=2)
 def _encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return only(("idfiles", path), lambda: Encoder(path))
 
 
 def train_dictionary(docs: DataFrame, path: str, sample: int, size: int) -> bytes:
@@ -148,6 +151,12 @@ def train_dictionary(docs: DataFrame, path: str, sample: int, size: int) -> byte
         return b"".join(arrays)[:size]
 
 
+def size_of(df: DataFrame) -> int:
+    """Bytes that the plan's statistics give the input; 0 where they know nothing."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 60 else 0
+
+
 def _dictionary(raw: bytes):
     import zstandard
 
@@ -157,6 +166,8 @@ def _dictionary(raw: bytes):
 def write_ids(docs: DataFrame, vocabulary: str | None = None, sample: int = 400, dict_size: int = 65_536, folder: str | None = None) -> DataFrame:
     """Write the files; the manifest (part, path, docs, ids), kept as Parquet."""
     spark = docs.sparkSession
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise ValueError("doc_id has to be an integer: files are in its order and frames hold it as 64 bits")
     vocabulary = vocabulary or default_vocabulary()
     folder = folder or fresh_dir(spark, "ids")
     raw = train_dictionary(docs, vocabulary, sample, dict_size)
@@ -197,9 +208,10 @@ def write_ids(docs: DataFrame, vocabulary: str | None = None, sample: int = 400,
         out.close()
         yield pa.RecordBatch.from_pydict({"part": pa.array([task.partitionId()], pa.int64()), "path": [name], "docs": pa.array([len(counts)], pa.int64()), "ids": pa.array([sum(counts)], pa.int64())})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    order = ["doc_id", F.xxhash64("text")]
-    manifest = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "part long, path string, docs long, ids long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.monotonically_increasing_id().alias("__row"))
+    order = ["doc_id", F.xxhash64("text"), "__row"]
+    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size_of(docs) // FILE_BYTES))
+    manifest = rows.repartitionByRange(files, *order).sortWithinPartitions(*order).drop("__row").mapInArrow(run, "part long, path string, docs long, ids long")
     manifest = saved(manifest, "id-manifest")
     before = F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return manifest.withColumn("start", before).withColumn("folder", F.lit(folder))

@@ -51,3 +51,26 @@ def test_single_documents_and_wrong_dictionary(real):
     assert len(rows) == row["docs"] and file.document(2)[0] == rows[2][0] and (file.document(2)[1] == rows[2][1]).all()
     with pytest.raises(ValueError):
         idfiles.IdFile(fs, row["path"], b"other")
+
+
+def test_equal_rows_fill_several_files(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(0, 3000, 1, 4).select(F.lit(1).cast("long").alias("doc_id"), F.lit("the same text").alias("text"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        manifest = idfiles.write_ids(rows).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(manifest) > 2 and sum(r["docs"] for r in manifest) == 3000
+
+
+def test_ids_have_to_be_integers(spark):
+    with pytest.raises(ValueError):
+        idfiles.write_ids(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_long_text(spark):
+    rows = spark.createDataFrame([(1, "lorem ipsum, dolor " * 120_000), (2, "x" * 50_000)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["start"], r["n_tokens"], zlib.crc32(r["ids"])) for r in idfiles.read_ids(idfiles.write_ids(rows)).collect())
+    assert got == whole(rows)
