@@ -15,6 +15,8 @@ from pyspark.sql.types import NumericType
 
 #: Text that Python's float() accepts, but for signed nan, once stripped.
 FLOAT_GRAMMAR = r"(?i)^[+-]?((\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*)?|inf|infinity|nan)$"
+#: White space of regular expressions.
+WHITE = " \t\n\x0b\f\r"
 
 
 def col(c: str | Column) -> Column:
@@ -23,7 +25,7 @@ def col(c: str | Column) -> Column:
 
 def strip(c: str | Column) -> Column:
     """Without white space of any kind at both ends (``trim`` takes spaces only)."""
-    return F.regexp_replace(col(c).cast("string"), r"^\s+|\s+$", "")
+    return F.btrim(col(c).cast("string"), F.lit(WHITE))
 
 
 def py_float(c: str | Column) -> Column:
@@ -32,11 +34,16 @@ def py_float(c: str | Column) -> Column:
     Spark's own cast takes ``1d`` and refuses ``1_000``; neither is wanted here.
     """
     text = strip(c)
-    number = F.regexp_replace(text, "_", "").try_cast("double")
-    signed_nan = text.rlike(r"(?i)^[+-]nan$")
+    number = F.replace(text, F.lit("_"), F.lit("")).try_cast("double")
+    signed_nan = F.lower(text).isin("+nan", "-nan")
     return F.when(signed_nan, F.lit(float("nan"))).when(text.rlike(FLOAT_GRAMMAR), number)
 
 
+def is_number(c: str | Column) -> Column:
+    """Whether py_float reads a number; never NULL. One regular expression a cell."""
+    return F.coalesce(strip(c).rlike(FLOAT_GRAMMAR), F.lit(False))
+
+
 def number(df: DataFrame, c: str) -> Column:
     """A column as a number: numeric types as they are, anything else read by py_float."""
     kind = df.schema[c].dataType

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.functions import expr as E
+from tallymill.operators import quantiles
+from tallymill.sources.store import checkpointed
 
 
 def equal_width(low: float, high: float, bins: int, precision: int = 3) -> list[float]:
@@ -27,7 +29,7 @@ def settled(edges: list[float], low: float | None = None, high: float | None = N
 
 
 def fit_edges(df: DataFrame, columns: list[str], bins: int = 6, method: str = "quantile", precision: int = 3, cap: int | None = None, seed: int = 0) -> dict[str, list[float]]:
-    """Edges of all columns from one aggregate: exact interpolated quantiles or equal widths.
+    """Edges of all columns: exact interpolated quantiles or equal widths.
 
     ``cap`` learns from that many rows only, chosen by hash and so repeatable.
     """
@@ -39,16 +41,14 @@ def fit_edges(df: DataFrame, columns: list[str], bins: int = 6, method: str = "q
     for i, c in enumerate(columns):
         v = F.col(f"_v{i}")
         aggs += [F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
-        if method == "quantile":
-            aggs.append(F.percentile(v, F.array(*(F.lit(j / bins) for j in range(bins + 1)))).alias(f"q{i}"))
+    if method == "quantile":
+        inner = quantiles.exact(df, [F.col(f"_v{i}") for i in range(len(columns))], [j / bins for j in range(bins + 1)])
+        return {c: settled(own or [], own[0] if own else None, own[-1] if own else None, bins, precision) for c, own in zip(columns, inner)}
     row = df.agg(*aggs).first()
     out = {}
     for i, c in enumerate(columns):
         low, high = row[f"lo{i}"], row[f"hi{i}"]
-        if method == "quantile":
-            out[c] = settled(list(row[f"q{i}"] or []), low, high, bins, precision)
-        else:
-            out[c] = [0.0, 1.0] if low is None else settled(equal_width(low, high, bins, precision), low, high, bins, precision)
+        out[c] = [0.0, 1.0] if low is None else settled(equal_width(low, high, bins, precision), low, high, bins, precision)
     return out
 
 
@@ -94,10 +94,19 @@ def with_items(df: DataFrame, edges: dict[str, list[float]], categories: dict[st
 
 def top_levels(counts: DataFrame, k: int) -> dict[str, list[str]]:
     """The k most frequent levels of each column (ties by level); k rows a column."""
-    from pyspark.sql import Window
-
-    ranked = counts.where(F.col("level").isNotNull()).withColumn("_r", F.row_number().over(Window.partitionBy("column").orderBy(F.desc("count"), "level")))
+    levels = checkpointed(counts.where(F.col("level").isNotNull()))
     out: dict[str, list[str]] = {}
-    for r in ranked.where(F.col("_r") <= k).collect():
+    for r in first_levels(levels, k).collect():
         out.setdefault(r["column"], []).append(r["level"])
     return out
+
+
+def first_levels(counts: DataFrame, k: int) -> DataFrame:
+    """The k most frequent rows (column, level, count) of each column, in order: a top-k a column, so that
+    no task sorts all levels of one."""
+    names = [r["column"] for r in counts.select("column").distinct().orderBy("column").collect()]
+    parts = [counts.where(F.col("column") == c).orderBy(F.desc("count"), "level").limit(k) for c in names]
+    out = counts.limit(0) if not parts else parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallymill.config import Roles
 from tallymill.functions import expr as E
+from tallymill.operators import quantiles
 
 
 def projection(df: DataFrame, roles: Roles, rows: int | None = None, order: list[str] = ()) -> DataFrame:
@@ -21,12 +22,13 @@ def projection(df: DataFrame, roles: Roles, rows: int | None = None, order: list
 
 
 def describe(df: DataFrame, columns: list[str], precision: int = 4) -> DataFrame:
-    """(column, count, mean, std, min, p25, p50, p75, max), all columns in one aggregate."""
+    """(column, count, mean, std, min, p25, p50, p75, max); quartiles are exact."""
+    df = df.select(*(F.when(~F.isnan(v), v).alias(c) for c, v in ((c, E.number(df, c)) for c in columns)))
+    quartiles = quantiles.exact(df, [E.col(c) for c in columns], [0.25, 0.5, 0.75])
     parts = []
     for i, c in enumerate(columns):
-        v = E.number(df, c)
-        v = F.when(~F.isnan(v), v)
-        q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        v = E.col(c)
+        q = [F.lit(x).cast("double") for x in quartiles[i] or [None] * 3]
         r = lambda x: F.round(x, precision)
         parts.append(
             F.struct(

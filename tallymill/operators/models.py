@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallymill.config import AutoSettings, Validation
 from tallymill.functions import expr as E
-from tallymill.operators import prep
+from tallymill.operators import prep, quantiles
 from tallymill.sources.store import checkpointed
 
 
@@ -95,15 +95,12 @@ def fences(df: DataFrame, columns: list[str], factor: float = 4.0) -> dict[str,
     """Quartile fences of finite cells; columns with under 4 of them or no spread have none."""
     parsed = [E.number(df, c) for c in columns]
     df = df.select(*(F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v).alias(f"_v{i}") for i, v in enumerate(parsed)))
-    aggs = []
-    for i, c in enumerate(columns):
-        v = F.col(f"_v{i}")
-        aggs += [F.percentile(v, F.array(F.lit(0.25), F.lit(0.75))).alias(f"q{i}"), F.count(v).alias(f"n{i}")]
-    row = df.agg(*aggs).first()
+    values = [F.col(f"_v{i}") for i in range(len(columns))]
+    row = df.agg(*(F.count(v).alias(f"n{i}") for i, v in enumerate(values))).first()
     out = {}
-    for i, c in enumerate(columns):
-        if row[f"n{i}"] >= 4 and row[f"q{i}"][1] > row[f"q{i}"][0]:
-            low, high = row[f"q{i}"]
+    for i, (c, own) in enumerate(zip(columns, quantiles.exact(df, values, [0.25, 0.75]))):
+        if row[f"n{i}"] >= 4 and own[1] > own[0]:
+            low, high = own
             out[c] = (low - factor * (high - low), high + factor * (high - low))
     return out
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.functions import expr as E
+from tallymill.operators import quantiles
 
 #: The preprocessing variants by name.
 VARIANTS = {
@@ -130,17 +131,17 @@ def fit(df: DataFrame, numeric: list[str], categorical: list[str], variant: str
     df = df.select(*map(E.col, dict.fromkeys(categorical)), *(F.when(~F.isnan(v), v).alias(f"_v{i}") for i, v in enumerate(parsed)))
     for i, c in enumerate(numeric):
         v = F.col(f"_v{i}")
-        middle = F.median(v) if how["impute"] == "median" else F.avg(v) if how["impute"] == "mean" else F.mode(v, True)
-        aggs += [middle.alias(f"m{i}"), F.count(v).alias(f"n{i}"), F.sum(v).alias(f"s{i}"), F.sum(v * v).alias(f"q{i}"), F.count("*").alias(f"a{i}"), F.var_pop(v).alias(f"v{i}"), F.avg(v).alias(f"g{i}")]
-    for i, c in enumerate(categorical):
-        aggs.append(F.mode(F.when(~E.missing_trimmed(c), E.strip(c)), True).alias(f"c{i}"))
+        aggs += [F.count(v).alias(f"n{i}"), F.sum(v).alias(f"s{i}"), F.sum(v * v).alias(f"q{i}"), F.count("*").alias(f"a{i}"), F.var_pop(v).alias(f"v{i}"), F.avg(v).alias(f"g{i}")]
     row = df.agg(*aggs).first() if aggs else {}
+    middles: list = [row[f"g{i}"] for i in range(len(numeric))]
+    if how["impute"] == "median":
+        middles = [own and own[0] for own in quantiles.exact(df, [F.col(f"_v{i}") for i in range(len(numeric))], [0.5])]
     p = Preprocessor(list(numeric), list(categorical), variant)
     for i, c in enumerate(numeric):
         n, rows = row[f"n{i}"], row[f"a{i}"]
         if not n:
             p.constant_filled.append(c)
-        fill = float(row[f"m{i}"]) if n else 0.0
+        fill = float(middles[i]) if n else 0.0
         p.fill[c] = fill
         # Moments after imputation: the fill joins the valid cells.
         gap, mean = rows - n, float(row[f"g{i}"] or 0.0)
@@ -151,15 +152,12 @@ def fit(df: DataFrame, numeric: list[str], categorical: list[str], variant: str
         from tallymill.operators.stats import level_counts
 
         counts = level_counts(cells, list(categorical)).where("level is not null")
-        from pyspark.sql import Window
-
-        ranked = counts.withColumn("_r", F.row_number().over(Window.partitionBy("column").orderBy(F.desc("count"), "level")))
         found: dict[str, list[str]] = {}
-        for r in ranked.orderBy("column", "_r").collect():
+        for r in counts.orderBy("column", F.desc("count"), "level").collect():
             found.setdefault(r["column"], []).append(r["level"])
         for i, c in enumerate(categorical):
-            p.level_fill[c] = row[f"c{i}"] if row[f"c{i}"] is not None else "missing"
             every = found.get(c, [])
+            p.level_fill[c] = every[0] if every else "missing"
             own = len(every) if how["encode"] == "ordinal" or len(every) <= max_levels else max_levels - 1
             p.levels[c], p.tail[c] = sorted(every[:own]), sorted(every[own:])
     return p

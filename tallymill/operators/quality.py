@@ -74,8 +74,8 @@ def kept_features(policy: DataFrame, roles: Roles) -> Roles:
 
 
 def keep_row(roles: Roles) -> Column:
-    """Target and kept numerics readable, kept categories not blank."""
-    numbers = [~E.missing_trimmed(c) & E.py_float(c).isNotNull() for c in (roles.target, *roles.numeric)]
+    """Target and kept numerics readable (a blank cell isn't), kept categories not blank."""
+    numbers = [E.is_number(c) for c in (roles.target, *roles.numeric)]
     return E.all_of([*numbers, *(~E.missing_trimmed(c) for c in roles.categorical)])
 
 

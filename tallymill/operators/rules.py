@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.config import RuleSettings
+from tallymill.sources.store import checkpointed
 
 
-def item_support(transactions: DataFrame, items: str = "items") -> DataFrame:
-    """(item, count, support) over all transactions."""
-    n = transactions.count()
+def item_support(transactions: DataFrame, items: str = "items", n: int | None = None) -> DataFrame:
+    """(item, count, support) over all transactions, ``n`` of them if known."""
+    n = transactions.count() if n is None else n
     each = transactions.select(F.explode(F.array_distinct(items)).alias("item")).groupBy("item").agg(F.count("*").alias("count"))
     return each.select("item", "count", (F.col("count") / F.lit(n)).alias("support"))
 
@@ -19,8 +20,9 @@ def compressed(transactions: DataFrame, settings: RuleSettings, items: str = "it
     """(transactions of frequent items only, how many remain).
 
     The floor counts all transactions; emptied ones then leave, so supports are
-    shares of what remains.
+    shares of what remains. Transactions are computed once and kept in the shared folder.
     """
+    transactions = checkpointed(transactions)
     whole, none = "\0all", "\0none"
     marks = F.array_append(F.when(F.size(items) == 0, F.array(F.lit(none))).otherwise(F.array_distinct(items)), F.lit(whole))
     each = transactions.select(F.explode(marks).alias("item")).groupBy("item").agg(F.count("*").alias("count"))

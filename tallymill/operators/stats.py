@@ -90,10 +90,9 @@ def merge_levels(counts: DataFrame) -> DataFrame:
 
 def categorical_report(counts: DataFrame, precision: int = 3) -> DataFrame:
     """(column, level, count, share, missing, missing_frequency) of the levels that occur."""
-    w = Window.partitionBy("column")
-    missing = F.coalesce(F.sum(F.when(F.col("level").isNull(), F.col("count"))).over(w), F.lit(0))
-    total = F.sum("count").over(w)
-    out = counts.withColumn("missing", missing).withColumn("_total", total).where(F.col("level").isNotNull())
+    missing = F.coalesce(F.sum(F.when(F.col("level").isNull(), F.col("count"))), F.lit(0))
+    totals = counts.groupBy("column").agg(missing.alias("missing"), F.sum("count").alias("_total"))
+    out = counts.where(F.col("level").isNotNull()).join(F.broadcast(totals), "column")  # a row a column
     return out.select(
         "column", "level", "count", F.round(F.col("count") / (F.col("_total") - F.col("missing")), precision).alias("share"), "missing",
         F.round(F.col("missing") / F.col("_total"), precision).alias("missing_frequency"),

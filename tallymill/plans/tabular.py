@@ -353,12 +353,12 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("item_support", f"WITH {TRANSACTIONS_SQL} SELECT item, c AS count, round(c / n, 6) AS support FROM one, n")
 def item_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    slim, _ = rules.compressed(transactions_of(spark, sf_dir), SETTINGS)
-    return rules.item_support(slim).withColumn("support", F.round("support", 6))
+    slim, n = rules.compressed(transactions_of(spark, sf_dir).select("items"), SETTINGS)
+    return rules.item_support(slim, n=n).withColumn("support", F.round("support", 6))
 
 
 def _sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
-    slim, n = rules.compressed(transactions_of(spark, sf_dir), SETTINGS)
+    slim, n = rules.compressed(transactions_of(spark, sf_dir).select("items"), SETTINGS)
     return rules.frequent_sets(slim, n, SETTINGS.min_support), n
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tallymill.config import Roles
 from tallymill.functions import expr as E
@@ -22,14 +25,27 @@ def header_of(spark: SparkSession, path: str) -> list[str]:
 def scan(spark: SparkSession, paths: str | list[str], columns=None) -> DataFrame:
     """All cells as text, with ``source_path`` and ``row_number`` (from 1 in each file).
 
-    A multi-line file is one task, so the running id within it is its row order.
+    A multi-line file is read by one task from start to end, so rows are counted as they
+    pass: no shuffle, no sort.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     names = list(columns or header_of(spark, paths[0]))
     rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').schema(text_schema(names)).csv(paths)
-    rows = rows.withColumn("source_path", F.input_file_name()).withColumn("_seq", F.monotonically_increasing_id())
-    in_file = Window.partitionBy("source_path").orderBy("_seq")
-    return rows.withColumn("row_number", F.row_number().over(in_file).cast("long")).drop("_seq")
+    rows = rows.withColumn("source_path", F.input_file_name())
+    return rows.mapInArrow(_numbered, StructType([*rows.schema.fields, StructField("row_number", LongType())]))
+
+
+def _numbered(batches):
+    """Each row's number within its file; a task reads one file after another."""
+    last, seen = None, 0
+    for batch in batches:
+        runs = pa.compute.run_end_encode(batch.column("source_path").cast("string"))
+        numbers, at = np.empty(batch.num_rows, dtype=np.int64), 0
+        for end, path in zip(runs.run_ends.to_pylist(), runs.values.to_pylist()):
+            seen = seen if path == last else 0
+            numbers[at:end] = np.arange(seen + 1, seen + 1 + end - at)
+            last, seen, at = path, seen + end - at, end
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers)], names=[*batch.schema.names, "row_number"])
 
 
 def first_batches(rows: DataFrame, batch_size: int, max_batches: int | None) -> DataFrame:

@@ -247,3 +247,25 @@ def test_config():
     assert c.rules.levels == 2 and c.roles.features == ("a",)
     with pytest.raises(ValueError):
         from_dict({"roles": {"target": "y", "wrong": 1}})
+
+
+@pytest.mark.parametrize("most", [200_000, 40])
+def test_exact_quantiles(spark, monkeypatch, most):
+    """Against numpy: ties, few values, one value, none, infinities; also with brackets that have to be narrowed."""
+    import numpy as np
+
+    from tallymill.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "MOST", most)
+    rng = np.random.default_rng(4)
+    n = 30_000
+    data = [rng.normal(0, 1, n), rng.integers(0, 7, n).astype(float), np.round(rng.exponential(3, n), 1), np.full(n, 2.5), rng.choice([-np.inf, 0.0, 1.0, np.inf], n)]
+    rows = [(*(float(c[i]) for c in data), float(i) if i < 9 else None, None) for i in range(n)]
+    df = spark.createDataFrame(rows, ", ".join(f"c{i} double" for i in range(7))).repartition(5)
+    shares = [0.0, 0.1, 1 / 3, 0.5, 0.77, 1.0]
+    got = quantiles.exact(df, [F.col(f"c{i}") for i in range(7)], shares)
+    for own, c in zip(got, data[:4]):
+        assert own == pytest.approx(np.quantile(c, shares).tolist(), abs=1e-12)
+    assert got[4][0] == -np.inf and got[4][-1] == np.inf and got[4][3] in (0.0, 0.5, 1.0)
+    assert got[5] == pytest.approx(np.quantile(np.arange(9.0), shares).tolist()) and got[6] is None
+    assert quantiles.exact(df.limit(0), [F.col("c0")], [0.5]) == [None] and quantiles.exact(df, [], [0.5]) == []
