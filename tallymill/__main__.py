@@ -17,6 +17,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--new", help="family to train (tree, mlp, auto)")
     p.add_argument("--bundle", default="model", help="where a new bundle goes")
     p.add_argument("--sweep", nargs="*", default=[])
+    p.add_argument("--profile", help="folder for time and memory pages of the run")
     p.add_argument("--clear", action="store_true")
     p.add_argument("--drift-ref", action="store_true")
     return p
@@ -51,22 +52,29 @@ def main(argv: list[str] | None = None) -> int:
 
     spark = SparkSession.builder.appName("tallymill").getOrCreate()
     config = load_config(args.config)
-    if args.clear:
-        out = life.clear(spark, config)
-    elif args.drift_ref:
-        out = life.build_reference(spark, config)
-    elif args.mode == "add_data":
-        out = life.add_data(spark, config, [args.path_csv])
-    else:
+
+    def run():
+        if args.clear:
+            return life.clear(spark, config)
+        if args.drift_ref:
+            return life.build_reference(spark, config)
+        if args.mode == "add_data":
+            return life.add_data(spark, config, [args.path_csv])
         life.ensure_data(spark, config)
         if args.mode == "analyse":
-            out = life.refresh_quality(spark, config)
-        elif args.mode == "train" and args.new:
-            out = life.train(spark, config, args.new, args.bundle, args.path_csv, args.date_until, args.sweep)
-        elif args.mode in ("train", "update"):
-            out = life.update(spark, config, args.old, args.bundle, args.path_csv, args.date_until)
-        else:
-            out = life.validate(spark, config, args.old, args.path_csv, args.date_until)
+            return life.refresh_quality(spark, config)
+        if args.mode == "train" and args.new:
+            return life.train(spark, config, args.new, args.bundle, args.path_csv, args.date_until, args.sweep)
+        if args.mode in ("train", "update"):
+            return life.update(spark, config, args.old, args.bundle, args.path_csv, args.date_until)
+        return life.validate(spark, config, args.old, args.path_csv, args.date_until)
+
+    if args.profile:
+        from tallymill.operators.monitor import profiled
+
+        out, _ = profiled(run, args.profile, args.mode or "clear", spark)
+    else:
+        out = run()
     print(json.dumps(out, default=str, indent=1))
     return 0
 

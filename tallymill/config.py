@@ -140,6 +140,8 @@ class Config:
     model_drift: ModelDriftLimits = field(default_factory=ModelDriftLimits)
     auto: AutoSettings = field(default_factory=AutoSettings)
     eda_rows: int = 30_000
+    #: Rules are mined when none are there and on request; here, after every load.
+    mine_each_load: bool = False
 
 
 def _made(kind, values: dict | None):

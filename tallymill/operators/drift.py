@@ -82,9 +82,17 @@ def status(*parts: DataFrame) -> DataFrame:
     return every.agg(severity(F.coalesce(rank, F.lit(0))).alias("status"), *counts)
 
 
-def actions(numeric: list, categorical: list) -> list[str]:
-    """What to do about the columns that drifted."""
-    out = []
+def actions(status: str, numeric: list = (), categorical: list = ()) -> list[str]:
+    """What to do about the report as a whole, then about the columns that drifted."""
+    whole = {
+        "no_reference": "freeze a reference from trusted data", "no_current": "load data: there are no current statistics",
+        "critical": "retrain or recalibrate: the distribution shifted strongly", "warn": "review features and segments: the distribution shifted", "ok": "none: within tolerance",
+    }
+    out = [whole[status]]
+    if any(r["severity"] != "ok" for r in numeric):
+        out.append("refresh statistics and rules")
+    if any(r["severity"] != "ok" for r in categorical):
+        out.append("review the encoding of levels")
     for r in [*numeric, *categorical]:
         if r["severity"] == "critical":
             out.append(f"retrain without or repair {r['column']}")
@@ -102,13 +110,14 @@ def normal_fail_on(value: object) -> str:
 def monitor(reference: tuple[DataFrame, DataFrame] | None, current: tuple[DataFrame, DataFrame] | None, limits: DriftLimits, target: str | None = None) -> dict:
     """The drift report; ``no_reference`` or ``no_current`` where a side is missing."""
     if reference is None or current is None:
-        return {"status": "no_reference" if reference is None else "no_current", "numeric": [], "categorical": [], "actions": []}
+        state = "no_reference" if reference is None else "no_current"
+        return {"status": state, "numeric": [], "categorical": [], "actions": actions(state)}
     from tallymill.operators.stats import numeric_report
 
     numeric = [r.asDict() for r in numeric_drift(numeric_report(reference[0]), numeric_report(current[0]), limits, target).orderBy("column").collect()]
     categorical = [r.asDict() for r in categorical_drift(reference[1], current[1], limits).orderBy("column").collect()]
     worst = max((RANKS[r["severity"]] for r in [*numeric, *categorical]), default=0)
-    return {"status": list(RANKS)[worst], "numeric": numeric, "categorical": categorical, "actions": actions(numeric, categorical)}
+    return {"status": list(RANKS)[worst], "numeric": numeric, "categorical": categorical, "actions": actions(list(RANKS)[worst], numeric, categorical)}
 
 
 def enforce(report: dict, limits: DriftLimits) -> None:

@@ -68,11 +68,12 @@ def histogram(df: DataFrame, columns: dict[str, tuple[float, float]], bins: int
     return out.select("column", "bin", F.round(F.col("_lo") + F.col("bin") * F.col("_w"), 4).alias("lo"), F.round(F.col("_lo") + (F.col("bin") + 1) * F.col("_w"), 4).alias("hi"), "count")
 
 
-def page(title: str, *frames: tuple[str, DataFrame]) -> str:
-    """An HTML page of small frames (each a row a column, pair or bin)."""
+def page(title: str, *frames: tuple[str, DataFrame], most: int = 10_000) -> str:
+    """An HTML page of small frames (each a row a column, pair or bin); past ``most`` rows it says that more are left out."""
     out = [f"<html><head><meta charset='utf-8'><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1>"]
     for name, df in frames:
-        out.append(f"<h2>{escape(name)}</h2>{df.limit(10_000).toPandas().to_html(index=False)}")
+        rows = df.limit(most + 1).toPandas()
+        out.append(f"<h2>{escape(name)}</h2>{rows[:most].to_html(index=False)}" + (f"<p>only the first {most} rows</p>" if len(rows) > most else ""))
     return "".join(out) + "</body></html>"
 
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -185,26 +186,28 @@ class TreeModel:
 
 @dataclass
 class MlpModel:
-    """A small ReLU network with Adam and early stopping, trained on a bounded sample.
+    """A small ReLU network on the log target, fitted on all rows where they are.
 
-    Spark has no network regressor; ``sample`` rows at most (by hash order) go to the
-    driver for the fit, prediction is an Arrow UDF over all rows.
+    Spark has no network regressor. In each epoch every partition goes on from the same
+    weights through its own rows in small batches (Adam), and the new weights are averaged
+    by rows; a tenth of the rows, by hash, is kept aside for early stopping. The driver
+    holds the weights alone. Prediction is an Arrow UDF.
     """
 
     hidden: tuple[int, ...] = (32, 16)
     epochs: int = 60
-    patience: int = 15
+    patience: int = 5
     rate: float = 1e-3
     seed: int = 42
-    sample: int = 100_000
     weights: list = field(default_factory=list)
     residual_variance: float = 0.0
     features: list[str] = field(default_factory=list)
 
-    def _taken(self, df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    def _taken(self, df: DataFrame) -> DataFrame:
         cols = [E.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(self.features)]
-        rows = df.select(F.log1p("y").alias("_y"), *cols).orderBy(F.xxhash64("_y", *(f"_{i}" for i in range(len(cols))), F.lit(self.seed))).limit(self.sample).toPandas().to_numpy(dtype=np.float64)
-        return rows[:, 1:], rows[:, 0]
+        rows = df.select(F.log1p("y").alias("_y"), *cols)
+        aside = F.pmod(F.xxhash64("_y", *(f"_{i}" for i in range(len(cols))), F.lit(self.seed)), F.lit(10)) == 0
+        return checkpointed(rows.withColumn("_aside", aside))
 
     @staticmethod
     def forward(weights: list, x: np.ndarray) -> list[np.ndarray]:
@@ -214,64 +217,105 @@ class MlpModel:
             out.append(np.maximum(z, 0) if i < len(weights) - 1 else z)
         return out
 
-    def _train(self, x: np.ndarray, y: np.ndarray) -> None:
-        if not len(y):
-            return
-        rng = np.random.default_rng(self.seed)
+    @staticmethod
+    def stepped(weights: list, x: np.ndarray, y: np.ndarray, rate: float, rng, batch: int = 256) -> list:
+        """The weights after one pass through the rows in small batches."""
+        moments = [[[np.zeros_like(p) for p in layer] for layer in weights] for _ in range(2)]
+        order, t = rng.permutation(len(y)), 0
+        for a in range(0, len(order), batch):
+            own = order[a : a + batch]
+            acts = MlpModel.forward(weights, x[own])
+            grad = 2 * (acts[-1] - y[own, None]) / len(own)
+            t += 1
+            new = [None] * len(weights)
+            for i in range(len(weights) - 1, -1, -1):
+                w, b = weights[i]
+                parts = acts[i].T @ grad, grad.sum(axis=0)
+                grad = grad @ w.T * (acts[i] > 0)
+                step = []
+                for j, (p, g) in enumerate(zip((w, b), parts)):
+                    m, v = moments[0][i][j], moments[1][i][j]
+                    m += 0.1 * (g - m)
+                    v += 0.001 * (g * g - v)
+                    step.append(p - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8))
+                new[i] = tuple(step)
+            weights = new
+        return weights
+
+    def _train(self, rows: DataFrame) -> None:
+        rng, inputs = np.random.default_rng(self.seed), len(self.features)
         if not self.weights:
-            sizes = [x.shape[1], *self.hidden, 1]
+            sizes = [inputs, *self.hidden, 1]
             self.weights = [(rng.normal(0, math.sqrt(2 / a), (a, b)), np.zeros(b)) for a, b in zip(sizes, sizes[1:])]
-        order = rng.permutation(len(y))
-        aside = order[: max(1, len(y) // 10)]
-        rest = order[len(aside) :] if len(order) > len(aside) else order
-        moments = [[np.zeros_like(p) for p in layer] for layer in self.weights], [[np.zeros_like(p) for p in layer] for layer in self.weights]
-        best, kept, wait, t = math.inf, self.weights, 0, 0
-        for _ in range(self.epochs):
-            for a in range(0, len(rest), 256):
-                own = rng.permutation(rest)[:256] if a == 0 and len(rest) <= 256 else rest[a : a + 256]
-                acts = self.forward(self.weights, x[own])
-                grad = 2 * (acts[-1] - y[own, None]) / len(own)
-                t += 1
-                new = [None] * len(self.weights)
-                for i in range(len(self.weights) - 1, -1, -1):
-                    w, b = self.weights[i]
-                    parts = acts[i].T @ grad, grad.sum(axis=0)
-                    grad = grad @ w.T * (acts[i] > 0)
-                    step = []
-                    for j, (p, g) in enumerate(zip((w, b), parts)):
-                        m, v = moments[0][i][j], moments[1][i][j]
-                        m += 0.1 * (g - m)
-                        v += 0.001 * (g * g - v)
-                        step.append(p - self.rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8))
-                    new[i] = tuple(step)
-                self.weights = new
-            loss = float(np.mean((self.forward(self.weights, x[aside])[-1][:, 0] - y[aside]) ** 2))
-            if loss < best - 1e-6:
-                best, kept, wait = loss, self.weights, 0
+        shapes = [p.shape for layer in self.weights for p in layer]
+        ends = np.cumsum([int(np.prod(s)) for s in shapes])
+        names = [f"_{i}" for i in range(inputs)]
+
+        def flat(weights: list) -> np.ndarray:
+            return np.concatenate([p.ravel() for layer in weights for p in layer])
+
+        def shaped(values: np.ndarray) -> list:
+            parts = [v.reshape(s) for v, s in zip(np.split(values, ends[:-1]), shapes)]
+            return list(zip(parts[::2], parts[1::2]))
+
+        def epoch(weights: np.ndarray, number: int, rate: float, seed: int):
+            def run(batches):
+                own, seen = shaped(weights), 0
+                start, squares = own, np.zeros(2)  # of the rows aside: their number and squared error
+                rng = np.random.default_rng([seed, number])
+                for batch in batches:
+                    x = np.stack([batch.column(n).to_numpy() for n in names], axis=1) if names else np.zeros((batch.num_rows, 0))
+                    y, aside = batch.column("_y").to_numpy(), batch.column("_aside").to_numpy(zero_copy_only=False)
+                    gap = MlpModel.forward(start, x[aside])[-1][:, 0] - y[aside]
+                    squares += [len(gap), float((gap**2).sum())]
+                    if (~aside).any():
+                        own, seen = MlpModel.stepped(own, x[~aside], y[~aside], rate, rng), seen + int((~aside).sum())
+                values = np.append(flat(own) * seen, [seen, *squares])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values)], names=["id", "value"])
+
+            return run
+
+        now, best, wait = flat(self.weights), (math.inf, flat(self.weights)), 0
+        for number in range(self.epochs + 1):
+            sums = rows.mapInArrow(epoch(now, number, self.rate, self.seed), "id long, value double").groupBy("id").agg(F.sum("value")).collect()  # a row a weight
+            total = np.zeros(len(now) + 3)
+            for i, value in sums:
+                total[i] = value
+            seen, aside, error = total[-3:]
+            if not seen:
+                break
+            loss = error / aside if aside else -number
+            if loss < best[0] * (1 - 1e-4) or best[0] == math.inf:
+                best, wait = (loss, now), 0
             else:
                 wait += 1
                 if wait >= self.patience:
                     break
-        self.weights = kept
-        self.residual_variance = float(np.var(y - self.forward(self.weights, x)[-1][:, 0]))
+            now = total[:-3] / seen
+        self.weights = shaped(best[1])
+        log = self._log()
+        self.residual_variance = float(rows.select((F.col("_y") - log(names)).alias("_left")).agg(F.var_pop("_left")).first()[0] or 0.0)
+
+    def _log(self):
+        weights = self.weights
+
+        def log_of(columns: pd.DataFrame) -> pd.Series:
+            return pd.Series(MlpModel.forward(weights, columns.to_numpy(dtype=np.float64))[-1][:, 0])
+
+        udf = F.pandas_udf(log_of, "double")
+        return lambda names: udf(F.struct(*names))
 
     def fit(self, df: DataFrame, features: list[str]) -> MlpModel:
         self.features, self.weights = list(features), []
-        self._train(*self._taken(df))
+        self._train(self._taken(df))
         return self
 
     def update(self, df: DataFrame) -> MlpModel:
-        self._train(*self._taken(df))
+        self._train(self._taken(df))
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
-        weights = self.weights
-
-        def log_of(columns: pd.DataFrame) -> pd.Series:
-            return pd.Series(MlpModel.forward(weights, columns.to_numpy(dtype=np.float64))[-1][:, 0])
-
-        udf = F.pandas_udf(log_of, "double")
-        log = udf(F.struct(*(E.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(self.features))))
+        log = self._log()([E.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(self.features)])
         return df.withColumn("p", prep.from_log(log, self.residual_variance))
 
     def save(self, path: str) -> None:

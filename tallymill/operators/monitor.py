@@ -53,20 +53,40 @@ def enforce(report: dict, limits: ModelDriftLimits) -> None:
         raise ModelDriftPolicyError(f"{report['metric']} is {report['status']}: {report['current']:.6g} against {report['baseline']:.6g}")
 
 
-def profiled(fn, path: str | None = None):
-    """(result, report): wall time and the driver's hottest functions of a call."""
+def profiled(fn, folder: str | None = None, mode: str = "run", spark: SparkSession | None = None):
+    """(result, report): wall time, the driver's hottest functions, its Python peak and the JVM's used memory.
+
+    With a ``folder`` of the driver's, a run gets a folder below it with a page for time
+    and one for memory, and a line in the manifest.
+    """
     import cProfile
     import io
     import pstats
+    import tracemalloc
 
     profile, began = cProfile.Profile(), time.time()
-    result = profile.runcall(fn)
+    tracemalloc.start()
+    try:
+        result = profile.runcall(fn)
+        seconds = time.time() - began
+        peak, lines = tracemalloc.get_traced_memory()[1], tracemalloc.take_snapshot().statistics("lineno")[:25]
+    finally:
+        tracemalloc.stop()
     out = io.StringIO()
     pstats.Stats(profile, stream=out).sort_stats("cumulative").print_stats(25)
-    report = {"seconds": time.time() - began, "functions": out.getvalue()}
-    if path:
+    jvm = spark.sparkContext._jvm.java.lang.Runtime.getRuntime() if spark is not None else None
+    report = {"mode": mode, "seconds": seconds, "functions": out.getvalue(), "python_peak_mb": peak / 1e6, "jvm_used_mb": (jvm.totalMemory() - jvm.freeMemory()) / 1e6 if jvm else None}
+    if folder:
+        import json
+        from datetime import datetime
         from html import escape
         from pathlib import Path
 
-        Path(path).write_text(f"<html><body><h1>{report['seconds']:.2f} s</h1><pre>{escape(report['functions'])}</pre></body></html>")
+        stamp = datetime.now().strftime("%Y%m%d-%H%M%S-%f")
+        run = Path(folder) / f"{mode}-{stamp}"
+        run.mkdir(parents=True)
+        (run / "time.html").write_text(f"<html><body><h1>{seconds:.2f} s</h1><pre>{escape(report['functions'])}</pre></body></html>")
+        (run / "memory.html").write_text(f"<html><body><h1>{report['python_peak_mb']:.1f} MB</h1><pre>{escape(chr(10).join(map(str, lines)))}</pre></body></html>")
+        with (Path(folder) / "manifest.jsonl").open("a") as f:
+            f.write(json.dumps({"at": stamp, "mode": mode, "run": run.name, "seconds": seconds, "python_peak_mb": report["python_peak_mb"], "time": "time.html", "memory": "memory.html"}) + "\n")
     return result, report

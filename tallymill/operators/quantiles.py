@@ -1,16 +1,17 @@
 """Exact quantiles of many columns without a task that holds a column.
 
 A first pass brackets every wanted rank by approximate percentiles, whose buffers are
-bounded. A second one counts what lies below each bracket and takes the distinct values
-inside it with their counts. Where a bracket would hold more than ``MOST`` rows it is
+bounded. A second one counts what lies below each bracket and at its ends, and lists the
+values between them. Where a bracket would hold more than ``MOST`` rows it is
 narrowed by further passes over its own rows; each narrows by some thousands.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ACCURACY = 10_000
@@ -100,19 +101,25 @@ def _narrowed(values: DataFrame, brackets: dict, wanted: dict) -> dict:
 
 
 def _inside(values: DataFrame, brackets: dict, below: dict) -> dict:
-    """Sorted (value, count) of each bracket; the counts below them go to ``below``, from the same pass."""
+    """Sorted (value, count) of each bracket; the counts below them go to ``below``, from the same pass.
+
+    The ends are counted, however often they occur; only what lies between them is listed.
+    """
     if not brackets:
         return {}
-    seen, keys = Observation(), list(brackets)
-    watched = values.observe(seen, *(_below(k, brackets[k]).alias(f"u{k[0]}_{k[1]}") for k in keys))
-    cells = F.array(*(F.when(_holds(k, brackets[k]), F.struct(F.lit(at).alias("b"), F.col(f"_q{k[0]}").alias("v"))) for at, k in enumerate(keys)))
-    rows = watched.select(F.explode(F.array_compact(cells)).alias("c")).groupBy("c.b", "c.v").agg(F.count("*").alias("n"))
-    found: dict = {k: [] for k in keys}
-    for r in rows.collect():  # MOST rows a bracket at most
-        found[keys[r["b"]]].append((r["v"], r["n"]))
-    for k in keys:
-        below[k] = seen.get[f"u{k[0]}_{k[1]}"]
-        found[k].sort()
+    aggs = []
+    for key, bracket in brackets.items():
+        v, name = F.col(f"_q{key[0]}"), f"{key[0]}_{key[1]}"
+        low, high = F.lit(bracket[0]), F.lit(bracket[1])
+        aggs += [_below(key, bracket).alias(f"u{name}"), F.count_if(v == low).alias(f"l{name}"), F.count_if(v == high).alias(f"h{name}"), F.collect_list(F.when((v > low) & (v < high), v)).alias(f"v{name}")]
+    row = values.agg(*aggs).first()  # MOST values a bracket at most
+    found: dict = {}
+    for key, (low, high, _) in brackets.items():
+        name = f"{key[0]}_{key[1]}"
+        below[key] = row[f"u{name}"]
+        found[key] = [(low, row[f"l{name}"]), *sorted(Counter(row[f"v{name}"]).items())]
+        if high > low:
+            found[key].append((high, row[f"h{name}"]))
     return found
 
 

@@ -99,26 +99,53 @@ def categorical_report(counts: DataFrame, precision: int = 3) -> DataFrame:
     )
 
 
-def dataset_meta(df: DataFrame, columns: list[str], id_column: str | None, date: Column | None, precision: int = 3, approximate: bool = False) -> DataFrame:
-    """One row: rows, missing cells over all columns, distinct ids and months, date range."""
+def meta_state(df: DataFrame, columns: list[str], date: Column | None) -> DataFrame:
+    """One row that merges with those of other loads: rows, missing cells over all columns, months, date range."""
     empty = [E.missing_exact(c) for c in columns]
     cells = sum((e.cast("long") for e in empty), F.lit(0).cast("long"))
-    any_ = empty[0]
-    for e in empty[1:]:
-        any_ = any_ | e
-    ids = F.when(~E.missing_exact(id_column), E.strip(id_column)) if id_column else F.lit(None).cast("string")
     month = F.date_format(date, "yyyy-MM") if date is not None else F.lit(None).cast("string")
     day = date if date is not None else F.lit(None).cast("date")
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
-    return df.agg(
-        F.count("*").alias("total_rows"), F.coalesce(F.sum(cells), F.lit(0)).alias("total_missing"), F.count_if(any_).alias("rows_with_any_missing"),
-        F.round(F.coalesce(F.avg(any_.cast("double")), F.lit(0.0)), precision).alias("row_any_missing_frequency"),
-        distinct(ids).alias("n_unique_ids"), F.count_distinct(month).alias("n_unique_months"), F.min(day).alias("min_date"), F.max(day).alias("max_date"),
+    marked = df.select(cells.alias("_m"), day.alias("_d"), month.alias("_month"))
+    return marked.agg(
+        F.count("*").alias("total_rows"), F.coalesce(F.sum("_m"), F.lit(0)).alias("total_missing"), F.count_if(F.col("_m") > 0).alias("rows_with_any_missing"),
+        F.sort_array(F.collect_set("_month")).alias("unique_months"), F.min("_d").alias("min_date"), F.max("_d").alias("max_date"), F.current_timestamp().alias("loaded_at"),
     )
 
 
+def id_state(df: DataFrame, id_column: str) -> DataFrame:
+    """(id): the distinct ids of a load; those of many loads are counted together."""
+    return df.select(F.when(~E.missing_exact(id_column), E.strip(id_column)).alias("id")).where("id is not null").distinct()
+
+
+def merge_meta(states: DataFrame) -> DataFrame:
+    """States of disjoint loads as the state of their union; months are few."""
+    return states.agg(
+        *(F.sum(c).alias(c) for c in ("total_rows", "total_missing", "rows_with_any_missing")), F.sort_array(F.array_distinct(F.flatten(F.collect_list("unique_months")))).alias("unique_months"),
+        F.min("min_date").alias("min_date"), F.max("max_date").alias("max_date"), F.max("loaded_at").alias("loaded_at"),
+    )
+
+
+def meta_report(state: DataFrame, ids: DataFrame | None, id_column: str | None, precision: int = 3) -> DataFrame:
+    """The state with its frequencies, the number of months, and of distinct ids (``ids`` of all loads)."""
+    share = F.when(F.col("total_rows") > 0, F.col("rows_with_any_missing") / F.col("total_rows")).otherwise(0.0)
+    out = state.withColumn("n_unique_ids", F.lit(0).cast("long"))
+    if ids is not None:  # two rows into one
+        both = out.unionByName(ids.agg(F.count_distinct("id").alias("n_unique_ids")), allowMissingColumns=True)
+        out = both.agg(*(F.max(c).alias(c) for c in both.columns))
+    return out.select(
+        "total_rows", "total_missing", "rows_with_any_missing", F.round(share, precision).alias("row_any_missing_frequency"), "n_unique_ids", F.lit(id_column).alias("id_column"),
+        F.size("unique_months").cast("long").alias("n_unique_months"), "unique_months", "min_date", "max_date", "loaded_at",
+    )
+
+
+def dataset_meta(df: DataFrame, columns: list[str], id_column: str | None, date: Column | None, precision: int = 3) -> DataFrame:
+    """One row of all this for one set of rows."""
+    ids = id_state(df, id_column) if id_column else None
+    return meta_report(meta_state(df, columns, date), ids, id_column, precision)
+
+
 def id_sketch(df: DataFrame, id_column: str) -> DataFrame:
-    """A mergeable sketch of distinct ids; ``merge_ids`` unites those of many loads."""
+    """A mergeable sketch of distinct ids, where an estimate is enough; ``merge_ids`` unites those of many loads."""
     return df.agg(F.hll_sketch_agg(F.when(~E.missing_exact(id_column), E.strip(id_column))).alias("ids"))
 
 

@@ -13,7 +13,7 @@ from tallymill.operators import bins, drift, eda, models, monitor, prep, quality
 from tallymill.sources import csv, store
 
 #: What a reset removes besides the store; models, the drift reference and history stay.
-REPORTS = ("numeric", "levels", "meta", "findings", "policy", "rules", "drift")
+REPORTS = ("loads", "numeric", "levels", "meta_state", "ids", "meta", "findings", "policy", "rules", "drift")
 
 
 def _write_json(spark: SparkSession, value: object, path: str) -> None:
@@ -25,7 +25,11 @@ def _read_json(spark: SparkSession, path: str):
 
 
 def add_data(spark: SparkSession, config: Config, paths: list[str], judge: bool = True, seq: int | None = None) -> None:
-    """Load files into the store and merge their statistics; judge quality and drift after."""
+    """Load files into the store, with a state of statistics a load; judge quality and drift after.
+
+    Rows and states of a load count once its mark is written, which comes last: what a
+    crashed load left behind is never read, and the next one takes another number.
+    """
     roles = config.roles
     store.init(spark, config.store)
     load = seq if seq is not None else int(store.open_store(spark, config.store).agg(F.coalesce(F.max("load_seq") + 1, F.lit(0))).first()[0])
@@ -36,11 +40,30 @@ def add_data(spark: SparkSession, config: Config, paths: list[str], judge: bool
     stats.numeric_state(rows, [*roles.numeric, roles.target]).coalesce(1).write.mode("overwrite").parquet(f"{config.reports}/numeric/{where}")
     if roles.categorical:
         stats.level_counts(rows, list(roles.categorical)).write.mode("overwrite").parquet(f"{config.reports}/levels/{where}")
+    date = E.parse_date(roles.datetime, roles.datetime_format, iso=False) if roles.datetime else None
+    stats.meta_state(rows, list(roles.all), date).coalesce(1).write.mode("overwrite").parquet(f"{config.reports}/meta_state/{where}")
+    if roles.id:
+        stats.id_state(rows, roles.id).write.mode("overwrite").parquet(f"{config.reports}/ids/{where}")
+    store.write_report(spark.createDataFrame([(load,)], "load long"), f"{config.reports}/loads", append_rows=True)
     if judge:
-        refresh_quality(spark, config)
+        refresh_quality(spark, config, mine=config.mine_each_load or not store.exists(spark, f"{config.reports}/rules"))
         check_drift(spark, config)
 
 
+def loads(spark: SparkSession, config: Config) -> list[int] | None:
+    """The numbers of finished loads; None where the store was filled without marks."""
+    marks = store.read_report(spark, f"{config.reports}/loads", "load long")
+    return None if marks is None else sorted(r["load"] for r in marks.distinct().collect())  # a row a load
+
+
+def _state(spark: SparkSession, config: Config, name: str) -> DataFrame | None:
+    """The states of finished loads under that name."""
+    if not store.exists(spark, f"{config.reports}/{name}"):
+        return None
+    found, done = spark.read.parquet(f"{config.reports}/{name}"), loads(spark, config)
+    return (found if done is None else found.where(F.col("load_seq").isin(done))).drop("load_seq")
+
+
 def ensure_data(spark: SparkSession, config: Config) -> None:
     """Bootstrap an empty store from the configured files."""
     store.init(spark, config.store)
@@ -49,35 +72,38 @@ def ensure_data(spark: SparkSession, config: Config) -> None:
 
 
 def current_state(spark: SparkSession, config: Config) -> tuple[DataFrame, DataFrame] | None:
-    if not store.exists(spark, f"{config.reports}/numeric"):
+    numeric, levels = _state(spark, config, "numeric"), _state(spark, config, "levels")
+    if numeric is None:
         return None
-    numeric = stats.merge_numeric(spark.read.parquet(f"{config.reports}/numeric").drop("load_seq"))
-    levels = stats.merge_levels(spark.read.parquet(f"{config.reports}/levels").drop("load_seq")) if config.roles.categorical else spark.createDataFrame([], "column string, level string, count long")
-    return numeric, levels
+    return stats.merge_numeric(numeric), stats.merge_levels(levels) if levels is not None else spark.createDataFrame([], "column string, level string, count long")
 
 
 def source_rows(spark: SparkSession, config: Config, date_ge: str | None = None, date_le: str | None = None, shift_days: int = 0) -> DataFrame:
     """The store's payload columns within a date range."""
-    wanted = [c for c in config.roles.all]
-    return store.decoded(store.in_range(store.open_store(spark, config.store), date_ge, date_le, shift_days), wanted)
+    wanted, done = [c for c in config.roles.all], loads(spark, config)
+    events = store.open_store(spark, config.store)
+    events = events if done is None else events.where(F.col("load_seq").isin(done))
+    return store.decoded(store.in_range(events, date_ge, date_le, shift_days), wanted)
+
 
+def refresh_quality(spark: SparkSession, config: Config, mine: bool = True) -> dict:
+    """Findings, column policy, rules and the feature contract, written as reports.
 
-def refresh_quality(spark: SparkSession, config: Config) -> dict:
-    """Findings, column policy, rules and the feature contract, written as reports."""
+    All but the rules come from the loads' states; only ``mine`` reads the store.
+    """
     state = current_state(spark, config)
     if state is None:
         return {}
     roles, p = config.roles, config.precision
     numeric, levels = stats.numeric_report(state[0], p), stats.categorical_report(state[1], p)
-    rows = source_rows(spark, config)
-    date = E.parse_date(roles.datetime, roles.datetime_format, iso=False) if roles.datetime else None
-    meta = stats.dataset_meta(rows, list(roles.all), roles.id, date, p)
+    meta = stats.meta_report(stats.merge_meta(_state(spark, config, "meta_state")), _state(spark, config, "ids"), roles.id, p)
     store.write_report(quality.findings(numeric, levels, meta, roles, config.quality, p), f"{config.reports}/findings")
     store.write_report(meta, f"{config.reports}/meta")
     policy = quality.column_policy(numeric, levels, roles, config.quality)
     store.write_report(policy, f"{config.reports}/policy")
-    mined = mine_rules(config, rows, state[1])
-    _write_json(spark, mined, f"{config.reports}/rules")
+    if mine:
+        _write_json(spark, mine_rules(config, source_rows(spark, config), state[1]), f"{config.reports}/rules")
+    mined = _read_json(spark, f"{config.reports}/rules") or {"specs": []}
     summary = quality.cleaning_summary(config, policy, [s["name"] for s in mined["specs"]])
     _write_json(spark, summary, f"{config.reports}/contract")
     return summary
@@ -92,6 +118,8 @@ def mine_rules(config: Config, rows: DataFrame, levels: DataFrame) -> dict:
     categories = {c: top.get(c, []) for c in roles.categorical}
     transactions = bins.with_items(rows, edges, categories).select("items")
     slim, n = rules.compressed(transactions, s)
+    if s.max_transactions is not None and n > s.max_transactions:
+        slim, n = rules.sample(slim.withColumn("_key", F.xxhash64("items")), s, "_key").drop("_key"), s.max_transactions
     report = []
     if n:
         slim = slim.persist()

@@ -1,7 +1,6 @@
-"""Queries of the tabular engine and their SQL counterparts."""
+"""All registered queries of the tabular engine."""
 
-from __future__ import annotations
+from tallymill.plans import inventory, tabular
 
-from tallymill.plans.tabular import ORACLE_SQL, QUERIES
-
-__all__ = ["ORACLE_SQL", "QUERIES"]
+QUERIES = tabular.QUERIES | inventory.QUERIES
+ORACLE_SQL = tabular.ORACLE_SQL | inventory.ORACLE_SQL

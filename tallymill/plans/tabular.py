@@ -6,7 +6,6 @@ blank), the same in both engines.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -45,8 +44,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A folder for what a query writes: the cluster's shared one, a temporary one in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tallymill-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{store.shared(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def _spoilt(c: str, more: str = "") -> str:
@@ -249,11 +247,12 @@ def quality_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _REASON = "CASE WHEN missing_frequency > 0.3 THEN 'missing_frequency' {n} ELSE '' END"
-POLICY_SQL = (
+POLICY_CTE = (
     f"WITH {DIRTY_SQL}, num AS ({NUMERIC_SQL}), cat AS ({LEVELS_SQL}), r AS ("
     f"SELECT \"column\", {_REASON.format(n=chr(32) + 'WHEN nonvalid_frequency > 0.05 THEN ' + chr(39) + 'nonvalid_frequency' + chr(39))} AS reason FROM num WHERE \"column\" IN ('l_quantity', 'l_discount', 'l_tax') "
-    f"UNION ALL SELECT DISTINCT \"column\", {_REASON.format(n='')} FROM cat) SELECT \"column\", reason = '' AS kept, reason FROM r"
+    f"UNION ALL SELECT DISTINCT \"column\", {_REASON.format(n='')} FROM cat)"
 )
+POLICY_SQL = f"{POLICY_CTE} SELECT \"column\", reason = '' AS kept, reason FROM r"
 
 
 @query("column_policy", POLICY_SQL)
@@ -680,7 +679,7 @@ def eda_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eda.histogram(table(spark, sf_dir, "lineitem"), {"l_quantity": (1.0, 50.0)})
 
 
-# ---- models (no SQL counterpart: rows only)
+# ---- models
 
 
 def _model_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str], list[str]]:
@@ -688,40 +687,6 @@ def _model_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str],
     return rows, ["l_quantity", "l_extendedprice", "l_discount"], ["l_returnflag", "l_linestatus"]
 
 
-def _trained(spark: SparkSession, sf_dir: str, kind: str, **options) -> tuple[object, dict, DataFrame]:
-    rows, numeric, categorical = _model_rows(spark, sf_dir)
-    data, names = models.matrix(rows, prep.fit(rows, numeric, categorical, prep.FAMILY_DEFAULT[kind]), F.expr(_TARGET_SQL), "_key")
-    model, metrics = models.train(kind, data, names, Validation(), "_key", **options)
-    return model, metrics, data
-
-
-def _metrics_frame(spark: SparkSession, rows: list[tuple[str, dict]]) -> DataFrame:
-    return spark.createDataFrame([(n, float(m["rmse"]), float(m["rmsle"]), float(m["r2"]), int(m["n"])) for n, m in rows], "model string, rmse double, rmsle double, r2 double, n long")
-
-
-@query("train_gbt")
-def train_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _metrics_frame(spark, [("tree", _trained(spark, sf_dir, "tree", iterations=5, depth=3)[1])])
-
-
-@query("train_mlp")
-def train_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _metrics_frame(spark, [("mlp", _trained(spark, sf_dir, "mlp", epochs=10)[1])])
-
-
-@query("update_gbt")
-def update_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, before, data = _trained(spark, sf_dir, "tree", iterations=3, depth=3)
-    return _metrics_frame(spark, [("parent", before), ("updated", models.evaluate(model.update(data), data))])
-
-
-@query("variant_sweep")
-def variant_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, numeric, categorical = _model_rows(spark, sf_dir)
-    best, tried = models.sweep(rows, numeric, categorical, ["tree", "tree_mean"], "tree", F.expr(_TARGET_SQL), "_key", Validation(), iterations=3, depth=3)
-    return _metrics_frame(spark, list(tried.items())).withColumn("chosen", F.col("model") == best)
-
-
 # ---- streaming
 
 
@@ -868,34 +833,3 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.ml.functions import array_to_vector
 
     return table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector("embedding").alias("features"), F.col("label").cast("double").alias("label"))
-
-
-@query("pca_components")
-def pca_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
-
-    return text.principal_components(_vectors(spark, sf_dir), 3).select("vec_id", vector_to_array("components").alias("components"))
-
-
-@query("svd_values")
-def svd_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values, _ = text.truncated_svd(_vectors(spark, sf_dir), 3)
-    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i int, value double")
-
-
-@query("nmf_topics")
-def nmf_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weights = text.tfidf(table(spark, sf_dir, "documents"), max_features=200, min_df=2, max_df=0.95)
-    coded = weights.select(F.col("doc_id").cast("int").alias("row"), F.pmod(F.xxhash64("term"), F.lit(1 << 30)).cast("int").alias("item"), F.col("weight").cast("float").alias("value"))
-    return text.factorised(coded, 4, "row", "item", "value").userFactors.select(F.col("id").alias("doc_id"), F.col("features").alias("topics"))
-
-
-@query("classifier_cv")
-def classifier_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.cross_validated(_vectors(spark, sf_dir), "lr", 3, key="vec_id")
-
-
-@query("profile_frames", None)
-def profile_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    html = eda.profile(table(spark, sf_dir, "lineitem").select(*NUMERIC, *CATEGORICAL), Roles("l_extendedprice", numeric=("l_quantity", "l_discount", "l_tax"), categorical=tuple(CATEGORICAL)))
-    return spark.createDataFrame([("profile", html.count("<h2>"))], "name string, sections int")

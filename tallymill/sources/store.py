@@ -24,10 +24,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, partitions as they are."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared(spark))
+    return df.checkpoint()
+
+
+def shared(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one in local mode only."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tallymill-"))
-    return df.checkpoint()
+        found = "file://" + tempfile.mkdtemp(prefix="tallymill-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
 
 
 def exists(spark: SparkSession, path: str) -> bool:

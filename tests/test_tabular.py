@@ -113,7 +113,9 @@ def test_drift_monitor_and_policy(spark):
     late = spark.createDataFrame([(str(i + 500), "b") for i in range(20)], "n string, c string")
     state = lambda d: (stats.numeric_state(d, ["n"]), stats.level_counts(d, ["c"]))
     report = drift.monitor(state(df), state(late), DriftLimits())
-    assert report["status"] == "critical" and len(report["actions"]) == 2
+    assert report["status"] == "critical" and len(report["actions"]) == 5
+    assert report["actions"][0].startswith("retrain or recalibrate") and report["actions"][3:] == ["retrain without or repair n", "retrain without or repair c"]
+    assert drift.actions("ok") == ["none: within tolerance"] and len(drift.actions("no_reference")) == len(drift.actions("no_current")) == 1
     with pytest.raises(drift.DataDriftPolicyError):
         drift.enforce(report, DriftLimits(fail_on="critical"))
     drift.enforce(report, DriftLimits(fail_on="nonsense"))
