@@ -16,8 +16,10 @@ Candidates come in three steps, and every one is verified on the texts:
 3. Only those pairs of a bucket are left whose groups still differ. Their nodes get LONG
    minima of four bits each; a pair whose minima differ in more than MOST_APART of them
    is left out where it is met, before any text is looked at. At 0.8 they differ in 96 on
-   average with a deviation of 8.8: the limit is 5.5 deviations out. Many texts that are
-   near copies of one but less than 0.8 alike cost comparisons of bits, not of texts.
+   average with a deviation of 8.8: the limit is 5 deviations out, which a pair at exactly
+   0.8 passes once in some 10^6. A pair is taken in the first bucket that it shares alone.
+   Many texts that are near copies of one but less than 0.8 alike cost comparisons of
+   bits, not of texts.
 
 A set whose size is under 0.8 of another's can't be similar to it and isn't compared.
 A large group of near copies so costs few pairs. A null text is empty; all empty texts
@@ -38,7 +40,7 @@ from tallymill.llm.simhash import components, prints_of, shingle_hashes
 SIZE = 5
 LEAST = 0.8
 BANDS, DEPTH = 32, 4
-LONG, MOST_APART = 512, 145
+LONG, MOST_APART = 512, 140
 BLOCK = 512  # hashes at once, for bounded memory and the processor's cache
 _RANDOM = np.random.default_rng(42)
 FACTOR = _RANDOM.integers(0, 1 << 63, LONG, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -66,7 +68,10 @@ def minima(own: np.ndarray, orders: int) -> np.ndarray:
 
 def bands_of(own: np.ndarray) -> np.ndarray:
     """One key a band, from the minima of a set under BANDS * DEPTH orders."""
-    least = minima(own, BANDS * DEPTH)
+    return keys_of(minima(own, BANDS * DEPTH))
+
+
+def keys_of(least: np.ndarray) -> np.ndarray:
     keys = np.arange(BANDS, dtype=np.uint64)
     for m in least.reshape(BANDS, DEPTH).T:
         keys = (keys ^ m) * np.uint64(0x9E3779B97F4A7C15)
@@ -74,9 +79,8 @@ def bands_of(own: np.ndarray) -> np.ndarray:
     return keys
 
 
-def signature_of(own: np.ndarray) -> np.ndarray:
+def signature_of(least: np.ndarray) -> np.ndarray:
     """Four mixed bits of each of LONG minima, sixteen to a word."""
-    least = minima(own, LONG)
     least = (least ^ (least >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(60)
     return np.bitwise_or.reduce(least.reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=1)
 
@@ -93,15 +97,18 @@ def apart(x: str, y: str) -> Column:
 
 
 def signatures(texts: DataFrame, size: int = SIZE) -> DataFrame:
-    """(node, s0, s1, ...) of (node, text)."""
+    """(node, bands, s0, s1, ...) of (node, text)."""
     names = [f"s{i}" for i in range(LONG // 16)]
 
     def run(batches):
         for batch in pieces(batches):
-            rows = np.stack([signature_of(shingle_set(t, size)) for t in texts_of(batch.column("text"))]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), *(pa.array(rows[:, i]) for i in range(len(names)))], names=["node", *names])
+            least = [minima(shingle_set(t, size), LONG) for t in texts_of(batch.column("text"))]
+            rows = np.stack([signature_of(x) for x in least]).view(np.int64)
+            bands = np.stack([keys_of(x[: BANDS * DEPTH]) for x in least]).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(least) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), lists, *(pa.array(rows[:, i]) for i in range(len(names)))], names=["node", "bands", *names])
 
-    return texts.select("node", "text").mapInArrow(run, ", ".join(f"{n} long" for n in ("node", *names)))
+    return texts.select("node", "text").mapInArrow(run, "node long, bands array<long>, " + ", ".join(f"{n} long" for n in names))
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -222,6 +229,8 @@ def roots(nodes: DataFrame, docs: DataFrame, size: int = SIZE, least: float = LE
     rest = saved(rest.join(saved(signatures(open_texts, size), "signatures"), "node"), "mixed")
     x, y = rest.alias("x"), rest.alias("y")
     near = (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & alike("x.count", "y.count", least) & (apart("x", "y") <= MOST_APART)
+    alone = F.get(F.col("x.bands"), F.array_position(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), F.lit(True)).cast("int") - 1) == F.col("x.key")
+    near = near & alone  # the first bucket of the pair's
     cross = x.join(y, (F.col("x.key") == F.col("y.key")) & near)
     cross = cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     cross = cross.join(stars, ["a", "b"], "left_anti").join(first, ["a", "b"], "left_anti")

@@ -46,3 +46,35 @@ def test_offsets(docs):
     text = docs.where("doc_id = 6").first()["text"].encode()
     at, part = bpe.decode_span(bytes(row["ids"]), bytes(row["offsets"]), 3, 6, bpe.default_ranks())
     assert text[at : at + len(part)] == part and part
+
+
+def test_query_as_the_library(spark):
+    from tallymill.llm.queries import op4_bpe_roundtrip
+
+    sf = "/root/testdata/sf0.001"
+    want = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        ids = LIBRARY.encode_ordinary(r["text"] or "")
+        want[r["doc_id"]] = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((r["text"] or "").encode()).hexdigest())
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in op4_bpe_roundtrip(spark, sf).collect()} == want
+
+
+def test_long_text_and_round_trip(spark, docs):
+    long = "don't stop — 漢字 42  times\n\n" * 60_000  # several batches' size
+    rows = spark.createDataFrame([(1, long), (2, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in bpe.round_trip(rows).collect()}
+    assert bytes(got[1]["decoded"]).decode() == long and np.frombuffer(got[1]["ids"], "<u4").tolist() == LIBRARY.encode_ordinary(long) and got[2]["n_tokens"] == 0
+    both = lambda df: sorted((r["doc_id"] or -1, r["n_tokens"], bytes(r["ids"]), bytes(r["decoded"])) for r in df.collect())
+    assert both(bpe.round_trip(docs)) == both(bpe.decode(bpe.encode(docs)))
+
+
+def test_scan_is_the_automaton():
+    """The blocked scan at every length around block edges, against one step at a time."""
+    rng = np.random.default_rng(2)
+    for n in (1, 63, 64, 65, 4095, 4096, 4097, 9000):
+        kinds = rng.integers(0, 12, n).astype(np.uint8)
+        state, want = bpe.START, []
+        for k in kinds.tolist():
+            state = bpe._step(k, state)
+            want.append(state)
+        assert bpe.states_after(kinds).tolist() == want

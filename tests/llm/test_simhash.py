@@ -84,3 +84,53 @@ def test_odd_rows(docs, none):
     kept = simhash.keep_one(docs).collect()
     assert sum(r["doc_id"] == 8 for r in kept) == 1 and sum(r["doc_id"] == 5 for r in kept) == 0
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
+
+
+def test_any_column_name(docs):
+    odd = docs.withColumns({c: F.lit(c) for c in ("__own", "__row", "__id_hash", "__number", "__text_hash")})
+    kept = simhash.keep_one(odd)
+    assert kept.columns == odd.columns and all(r["__own"] == "__own" and r["__row"] == "__row" for r in kept.collect())
+
+
+def test_dense_clusters_write_few_links(spark):
+    """61 fingerprints around one centre are 1,830 pairs; each node and round writes one."""
+    shapes = [0, *(1 << i for i in range(60))]
+    rows = spark.createDataFrame([(x,) for x in shapes], "fp long")
+    assert simhash.links(rows).count() == 61 * 60 // 2
+    assert simhash.nearest(rows.withColumn("root", F.col("fp"))).count() == 61
+    found = {r["fp"]: r["root"] for r in simhash.clustered(rows).collect()}
+    assert found == dict.fromkeys(shapes, 0)
+
+
+def test_clusters_as_brute_force(spark, monkeypatch):
+    """Chains that need several rounds, signs on both sides, and crowded cells dealt to several tasks."""
+    rng = np.random.default_rng(9)
+    prints = set()
+    for _ in range(15):
+        x = int(rng.integers(0, 1 << 63, dtype=np.uint64)) * 2 + 1
+        for _ in range(20):
+            for bit in rng.integers(0, 64, rng.integers(1, 5)).tolist():
+                x ^= 1 << bit
+            prints.add(x)
+    prints = sorted(p - (1 << 64) if p >> 63 else p for p in prints)
+    mask = (1 << 64) - 1
+    parent = {p: p for p in prints}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(prints):
+        for b in prints[:i]:
+            if ((a & mask) ^ (b & mask)).bit_count() <= 3:
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    rows = spark.createDataFrame([(p,) for p in prints], "fp long")
+    alone = {p for p in prints if not any(p != q and ((p & mask) ^ (q & mask)).bit_count() <= 3 for q in prints)}
+    want = {p: find(p) for p in prints if p not in alone}
+    assert {r["fp"]: r["root"] for r in simhash.clustered(rows).collect()} == want and want
+    nodes = rows.withColumn("root", F.col("fp"))
+    whole = simhash.meeting(nodes, 3, F.col("p.a") < F.col("i.b")).select("a", "b")
+    dealt = simhash.meeting(nodes, 3, F.col("p.a") < F.col("i.b"), crowd=1).select("a", "b")
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, dealt.collect()))
