@@ -44,7 +44,7 @@ def describe_levels(df: DataFrame, columns: list[str]) -> DataFrame:
     from tallymill.operators.stats import level_counts
 
     return level_counts(df, columns).where("level is not null").groupBy("column").agg(
-        F.sum("count").alias("count"), F.count("*").alias("unique"), F.max_by("level", F.struct("count", F.expr("-ascii(level)"))).alias("top"), F.max("count").alias("freq")
+        F.sum("count").alias("count"), F.count("*").alias("unique"), F.min_by("level", F.struct((-F.col("count")).alias("n"), "level")).alias("top"), F.max("count").alias("freq")
     )
 
 

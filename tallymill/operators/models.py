@@ -42,9 +42,9 @@ def positions(df: DataFrame, order: list[str], name: str = "position") -> DataFr
         at += counts[p]
     if not starts:
         return df.withColumn(name, F.lit(0).cast("long"))
-    table = F.create_map(*(x for p, s in starts.items() for x in (F.lit(p), F.lit(s).cast("long"))))
+    table = df.sparkSession.createDataFrame(list(starts.items()), "_p int, _start long")  # a row a partition
     within = F.col("_i") - F.shiftleft(F.col("_p").cast("long"), 33)
-    return parts.withColumn(name, table[F.col("_p")] + within).drop("_p", "_i")
+    return parts.join(F.broadcast(table), "_p").withColumn(name, F.col("_start") + within).drop("_p", "_i", "_start")
 
 
 def kfold(position: Column, n: int, k: int) -> Column:
