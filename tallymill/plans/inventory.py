@@ -143,8 +143,7 @@ def cleaned_after_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "meta_merge",
-    f"WITH {T.DIRTY_SQL}, m AS ({T.META_SQL}) SELECT m.*, 'l_orderkey' AS id_column, (SELECT string_agg(k, ',' ORDER BY k) FROM (SELECT DISTINCT strftime(l_shipdate, '%Y-%m') AS k FROM dirty)) AS unique_months, "
-    "true AS loaded FROM m",
+    f"WITH {T.DIRTY_SQL}, m AS ({T.META_SQL}) SELECT m.*, 'l_orderkey' AS id_column, {T.MONTHS_SQL}, true AS loaded FROM m",
 )
 def meta_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = T.dirty(spark, sf_dir)

@@ -217,9 +217,13 @@ def _meta(rows: DataFrame) -> DataFrame:
     return stats.dataset_meta(rows, _TEXTS, "l_orderkey", F.col("l_shipdate"))
 
 
-@query("dataset_meta", f"WITH {DIRTY_SQL} {META_SQL}")
+MONTHS_SQL = "(SELECT string_agg(k, ',' ORDER BY k) FROM (SELECT DISTINCT strftime(l_shipdate, '%Y-%m') AS k FROM dirty)) AS unique_months"
+
+
+@query("dataset_meta", f"WITH {DIRTY_SQL}, m AS ({META_SQL}) SELECT m.*, 'l_orderkey' AS id_column, {MONTHS_SQL}, true AS loaded FROM m")
 def dataset_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _meta(dirty(spark, sf_dir))
+    out = _meta(dirty(spark, sf_dir))
+    return out.withColumn("unique_months", F.array_join("unique_months", ",")).withColumn("loaded", F.col("loaded_at").isNotNull()).drop("loaded_at")
 
 
 # ---- quality
