@@ -49,13 +49,13 @@ def gathered(df: DataFrame, rows: int, each: int = 8_000) -> DataFrame:
     return df.coalesce(max(1, -(-rows // each)))
 
 
-def saved(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+def saved(df: DataFrame, name: str, rows: int | None = None, each: int = 8_000) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: lineage ends here.
 
     Where it is known to have at most ``rows`` short rows, it isn't written in more files than they need.
     """
     spark = df.sparkSession
-    df = df if rows is None else gathered(df, rows)
+    df = df if rows is None else gathered(df, rows, each)
     path = fresh_dir(spark, name)
     schema = df.schema
     df.write.parquet(path)

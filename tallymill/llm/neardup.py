@@ -206,7 +206,7 @@ def roots(nodes: DataFrame, docs: DataFrame, size: int = SIZE, least: float = LE
     members = saved(rows.join(shared, "key"), "buckets")
     wanted = members.select("node").union(first.select("a")).union(first.select("b")).distinct()
     texts = saved(texts_at(docs, nodes.select("node", "key").join(wanted, "node", "left_semi")), "texts")
-    links = saved(similar(first, texts, size, least), "print-links", 4 * first.count())
+    links = saved(similar(first, texts, size, least), "print-links", first.count(), 50)  # few pairs a task: it reads their texts
     found = components(links)
 
     placed = members.join(found, "node", "left").select("key", "node", "count", F.coalesce("root", "node").alias("root"))
@@ -217,7 +217,7 @@ def roots(nodes: DataFrame, docs: DataFrame, size: int = SIZE, least: float = LE
         part = open_.where((F.col("root") != F.col(f"{end}.root")) & alike("count", f"{end}.count", least)).select(*ordered("node", f"{end}.node"))
         stars = part if stars is None else stars.union(part)
     stars = saved(stars.distinct().join(first, ["a", "b"], "left_anti"), "stars", 2 * members.count())
-    more = saved(similar(stars, texts, size, least), "star-links", 4 * stars.count())
+    more = saved(similar(stars, texts, size, least), "star-links", stars.count(), 50)
     if not more.isEmpty():
         links = links.union(more)
         found = components(links)
