@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-#: Text that Python's float() accepts, but for signed nan, once stripped.
-FLOAT_GRAMMAR = r"(?i)^[+-]?((\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*)?|inf|infinity|nan)$"
+#: Text that Python's float() accepts, but for signed nan, once stripped. Nothing that a part has taken is given back.
+_DIGITS = r"\d++(?:_\d++)*+"
+FLOAT_GRAMMAR = rf"(?i)^[+-]?+(?:(?:{_DIGITS}\.?+(?:{_DIGITS})?+|\.{_DIGITS})(?:e[+-]?+{_DIGITS})?+|inf|infinity|nan)$"
 #: White space of regular expressions.
 WHITE = " \t\n\x0b\f\r"
 

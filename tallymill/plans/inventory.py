@@ -46,13 +46,13 @@ _COLUMNS = ["l_orderkey", "l_linenumber", "l_shipdate", *T.NUMERIC, *T.CATEGORIC
 
 
 def _life(spark: SparkSession, sf_dir: str, **settings) -> tuple[C.Config, str, str]:
-    """(configuration, first file, second file): the dirty rows before and from T.CUT."""
+    """(configuration, first folder, second folder): the dirty rows before and from T.CUT, each in as many files as tasks wrote."""
     folder = T.scratch(spark, "life")
     rows = T.dirty(spark, sf_dir).withColumn("_early", F.col("l_shipdate") < F.lit(T.CUT).cast("date")).withColumn("l_shipdate", F.date_format("l_shipdate", "dd-MMM-yy")).select(*_COLUMNS, "_early")
     paths = []
     for early in (True, False):
         paths.append(f"{folder}/{'early' if early else 'late'}")
-        part = rows.where(F.col("_early") == early).drop("_early").coalesce(1)
+        part = rows.where(F.col("_early") == early).drop("_early")
         part.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(paths[-1])
     config = C.Config(_LIFE, sources=(paths[0],), store=f"{folder}/store", reports=f"{folder}/reports", quality=T.LIMITS, **settings)
     return config, *paths

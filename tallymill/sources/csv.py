@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -11,6 +14,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tallymill.config import Roles
 from tallymill.functions import expr as E
+from tallymill.sources import store
 
 
 def text_schema(columns) -> StructType:
@@ -28,11 +32,30 @@ def scan(spark: SparkSession, paths: str | list[str], columns=None) -> DataFrame
     A multi-line file is read by one task from start to end, so rows are counted as they
     pass: no shuffle, no sort.
     """
+    rows = _cells(spark, paths, columns)
+    return rows.mapInArrow(_numbered, StructType([*rows.schema.fields, StructField("row_number", LongType())]))
+
+
+def _cells(spark: SparkSession, paths: str | list[str], columns=None) -> DataFrame:
     paths = [paths] if isinstance(paths, str) else list(paths)
     names = list(columns or header_of(spark, paths[0]))
     rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').schema(text_schema(names)).csv(paths)
-    rows = rows.withColumn("source_path", F.input_file_name())
-    return rows.mapInArrow(_numbered, StructType([*rows.schema.fields, StructField("row_number", LongType())]))
+    return rows.withColumn("source_path", F.input_file_name())
+
+
+@contextmanager
+def landed(spark: SparkSession, paths: str | list[str], columns=None) -> Iterator[DataFrame]:
+    """The rows of ``scan``, parsed once and kept as Parquet for several readers.
+
+    Numbers come from a running id of the reading task less the first one of the file
+    (a row a file), so no cell goes through Python.
+    """
+    cells = _cells(spark, paths, columns)
+    run = "__run" + "_" * max(map(len, cells.columns))  # longer than any column's name
+    with store.landed(cells.withColumn(run, F.monotonically_increasing_id())) as rows:
+        first = rows.groupBy("source_path").agg(F.min(run).alias(f"{run}0"))
+        number = F.col(run) - F.col(f"{run}0") + 1
+        yield rows.join(F.broadcast(first), "source_path").select(*map(E.col, cells.columns), number.alias("row_number"))
 
 
 def _numbered(batches):

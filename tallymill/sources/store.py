@@ -6,6 +6,10 @@ Columns: source_path, row_number, event_date, raw_json, loaded_at, load_seq. The
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +45,18 @@ def shared(spark: SparkSession) -> str:
     return found
 
 
+@contextmanager
+def landed(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` computed once, as Parquet in the shared folder, for readers of a few columns each; removed at the end."""
+    spark = df.sparkSession
+    path = f"{shared(spark).rstrip('/')}/landed-{uuid.uuid4().hex}"
+    try:
+        df.write.parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        reset(spark, path)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p, fs = _jpath(spark, path)
     return bool(fs.exists(p))
