@@ -14,10 +14,12 @@ Candidates come in three steps, and every one is verified on the texts:
    5e-8 at 0.8. In buckets that still hold several groups, each node is compared with the
    bucket's smallest and largest group.
 3. Only those pairs of a bucket are left whose groups still differ. Their nodes get LONG
-   minima of four bits each; a pair whose minima differ in more than MOST_APART of them
-   is left out where it is met, before any text is looked at. At 0.8 they differ in 96 on
+   minima of four bits each and travel with their texts to their buckets' tasks (large buckets
+   by two blocks of rows at a time), where pairs are compared and links found: no row a pair
+   is made. A pair whose minima differ in more than MOST_APART of them is left out before any
+   text is looked at. At 0.8 they differ in 96 on
    average with a deviation of 8.8: the limit is 5 deviations out, which a pair at exactly
-   0.8 passes once in some 10^6. A pair is taken in the first bucket that it shares alone.
+   0.8 passes once in some 10^6. A pair is taken in the first bucket that it shares.
    Many texts that are near copies of one but less than 0.8 alike cost comparisons of
    bits, not of texts.
 
@@ -41,6 +43,7 @@ SIZE = 5
 LEAST = 0.8
 BANDS, DEPTH = 32, 4
 LONG, MOST_APART = 512, 140
+EDGE = 512  # rows of a bucket's block: two blocks and their texts are held by a task
 BLOCK = 512  # hashes at once, for bounded memory and the processor's cache
 _RANDOM = np.random.default_rng(42)
 FACTOR = _RANDOM.integers(0, 1 << 63, LONG, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -85,15 +88,12 @@ def signature_of(least: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(least.reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=1)
 
 
-def apart(x: str, y: str) -> Column:
-    """In how many places the signatures of both sides of a join differ."""
-    out = F.lit(0)
-    for i in range(LONG // 16):
-        v = F.col(f"{x}.s{i}").bitwiseXOR(F.col(f"{y}.s{i}"))
-        v = v.bitwiseOR(F.shiftrightunsigned(v, 1))
-        v = v.bitwiseOR(F.shiftrightunsigned(v, 2))
-        out = out + F.bit_count(v.bitwiseAND(F.lit(0x1111111111111111)))
-    return out
+def apart(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """In how many places a signature differs from each of the ``rows``."""
+    v = x ^ rows
+    v |= v >> np.uint64(1)
+    v |= v >> np.uint64(2)
+    return np.bitwise_count(v & np.uint64(0x1111111111111111)).sum(axis=1, dtype=np.int64)
 
 
 def signatures(texts: DataFrame, size: int = SIZE) -> DataFrame:
@@ -187,6 +187,59 @@ def alike(x: str, y: str, least: float) -> Column:
     return F.least(x, y) >= F.greatest(x, y) * F.lit(least - 1e-9)
 
 
+def linked(rows: DataFrame, size: int = SIZE, least: float = LEAST, tasks: int = 0) -> DataFrame:
+    """(a, b): similar nodes of different roots that share a bucket, enough of them to join all that are linked.
+
+    ``rows`` has key, n (rows of the key), node, root, count, text, bands and the signature. A bucket is
+    dealt into blocks of about EDGE rows and every two blocks meet in a task of their own. There all pairs are compared
+    by bits and what passes by texts, so that pairs never become rows: only links leave the task, and
+    none whose ends are joined already by links of the same task.
+    """
+    names = [f"s{i}" for i in range(LONG // 16)]
+
+    def run(table: pa.Table) -> pa.Table:
+        key, found = table["key"][0].as_py(), []
+        node, root, count, block = (table[c].to_numpy() for c in ("node", "root", "count", "block"))
+        marks = np.stack([table[c].to_numpy() for c in names], axis=1).view(np.uint64)
+        bands = np.array(table["bands"].combine_chunks().flatten()).reshape(-1, BANDS)
+        texts, sets, up = texts_of(table["text"].combine_chunks()), {}, {}
+        across = table["i"][0].as_py() != table["j"][0].as_py()
+
+        def own(at: int) -> np.ndarray:
+            if at not in sets:
+                sets[at] = shingle_set(texts[at], size)
+            return sets[at]
+
+        def top(x: int) -> int:
+            while x in up:
+                x = up[x]
+            return x
+
+        for x in range(len(node) - 1):
+            near = (root[x + 1 :] != root[x]) & (np.minimum(count[x + 1 :], count[x]) >= np.maximum(count[x + 1 :], count[x]) * (least - 1e-9))
+            if across:
+                near &= block[x + 1 :] != block[x]
+            ys = np.flatnonzero(near) + x + 1
+            ys = ys[apart(marks[x], marks[ys]) <= MOST_APART]
+            if len(ys):  # a pair is taken in the first bucket that it shares
+                ys = ys[bands[x][(bands[ys] == bands[x]).argmax(axis=1)] == key]
+            for y in ys.tolist():
+                p, q = top(int(root[x])), top(int(root[y]))
+                if p != q and jaccard(own(x), own(y)) >= least:
+                    up[p] = q
+                    found.append(sorted((int(node[x]), int(node[y]))))
+            sets.pop(x, None)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    parts = F.ceil(F.col("n") / EDGE)
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("node"), parts)).withColumn("__with", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    dealt = dealt.withColumn("i", F.least("block", "__with")).withColumn("j", F.greatest("block", "__with"))
+    dealt = dealt.select("key", "i", "j", "block", "node", "root", "count", "text", "bands", *names)
+    if tasks:  # few bytes, much work: a number of its own keeps small partitions from being put together
+        dealt = dealt.repartition(tasks, "key", "i", "j")
+    return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def by_prints(nodes: DataFrame, least: float) -> DataFrame:
     """(a, b): nodes of one fingerprint, and of the nearest other one within its radius."""
     prints = saved(nodes.groupBy("fp").agg(F.min(F.struct("node", "count")).alias("rep")), "prints", nodes.count())
@@ -223,18 +276,14 @@ def roots(nodes: DataFrame, docs: DataFrame, size: int = SIZE, least: float = LE
         found = components(links)
 
     placed = members.join(found, "node", "left").select("key", "node", "count", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    rest = placed.join(mixed, "key", "left_semi")
+    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
+    mixed = saved(mixed, "mixed")
+    rest = placed.join(mixed, "key")
     open_texts = texts.join(rest.select("node").distinct(), "node", "left_semi")
-    rest = saved(rest.join(saved(signatures(open_texts, size), "signatures"), "node"), "mixed")
-    x, y = rest.alias("x"), rest.alias("y")
-    near = (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & alike("x.count", "y.count", least) & (apart("x", "y") <= MOST_APART)
-    alone = F.get(F.col("x.bands"), F.array_position(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), F.lit(True)).cast("int") - 1) == F.col("x.key")
-    near = near & alone  # the first bucket of the pair's
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & near)
-    cross = cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    cross = cross.join(stars, ["a", "b"], "left_anti").join(first, ["a", "b"], "left_anti")
-    more = saved(similar(cross, texts, size, least), "cross-links")
+    marks = saved(signatures(open_texts, size).join(texts, "node"), "signatures")
+    met = mixed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-met // 1_000))
+    more = saved(linked(rest.join(marks, "node"), size, least, tasks), "cross-links")
     return found if more.isEmpty() else components(links.union(more))
 
 
