@@ -130,6 +130,19 @@ def pieces(batches: Iterator[pa.RecordBatch], chars: int = 1 << 20, column: str
     give_back()
 
 
+def blocks(batches: Iterator[pa.RecordBatch], chars: int, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of up to ``chars`` bytes of text, small ones put together; a longer text stands alone."""
+    held, size = [], 0
+    for piece in pieces(batches, chars // 8, column):
+        if held and size + piece.nbytes > chars:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(piece)
+        size += piece.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 def bitmap(keys: DataFrame, most_bits: int = 1 << 29) -> bytes:
     """A filter over the low bits of ``key``: 16 bits a key, rounded up to a power of two, 64 MB at most.
 

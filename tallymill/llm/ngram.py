@@ -29,31 +29,61 @@ from __future__ import annotations
 import json
 import os
 import tempfile
-from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.llm import eliasfano as ef
-from tallymill.llm.common import fresh_dir, only, open_fs, pieces, saved, texts_of
+from tallymill.llm.common import blocks, fresh_dir, only, open_fs, saved
 
 PARTS = 16  # of the vocabulary, by the top four bits of the hash
 END = b"\n"  # no word holds it
 ADD = 0.1
 STEP = 4096.0  # quantisation: log10 probabilities in steps of 1/4096
 FLOOR = 65535
-
-
-def tokens_of(text: bytes) -> list[bytes]:
-    return [*text.lower().split(), END]
+BLOCK = 8 << 20  # bytes of text whose words and pairs are made distinct before they are looked up
 
 
 def hashes_of(words: list[bytes]) -> np.ndarray:
     from xxhash import xxh64_intdigest
 
-    return np.fromiter((xxh64_intdigest(w, 0) for w in words), dtype=np.uint64, count=len(words))
+    return np.fromiter(map(xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+
+
+def bytes_of(words: pa.Array) -> list[bytes]:
+    """The words, none of which is null."""
+    if not len(words):
+        return []
+    edges = np.frombuffer(words.buffers()[1], dtype=np.int64 if pa.types.is_large_string(words.type) else np.int32)
+    edges = edges[words.offset : words.offset + len(words) + 1].tolist()
+    data = words.buffers()[2].slice(0, edges[-1]).to_pybytes() if edges[-1] else b""
+    return list(map(data.__getitem__, map(slice, edges, edges[1:])))
+
+
+def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each distinct token, each token's place among them, tokens of each text).
+
+    An end follows every text's words; it is the last of the distinct tokens.
+    """
+    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column, "")))
+    coded = words.flatten().dictionary_encode()
+    codes, edges = coded.indices.to_numpy(), words.offsets.to_numpy()
+    distinct = bytes_of(coded.dictionary)
+    if (empty := coded.dictionary.index("").as_py()) >= 0:  # beside leading and trailing blanks
+        kept = codes != empty
+        codes, edges = codes[kept] - (codes[kept] > empty), np.concatenate([[0], np.cumsum(kept)])[edges]
+        del distinct[empty]
+    sizes = np.diff(edges).astype(np.int64) + 1
+    ends = np.cumsum(sizes) - 1
+    out = np.empty(int(sizes.sum()), dtype=np.int32)
+    inner = np.ones(len(out), dtype=bool)
+    inner[ends] = False
+    out[ends], out[inner] = len(distinct), codes
+    return hashes_of([*distinct, END]), out, sizes
 
 
 def held_out(key: str = "doc_id", mod: int = 10):
@@ -105,7 +135,7 @@ def map_arrays(folder: str, name: str) -> dict[str, np.ndarray]:
         with os.fdopen(fd, "wb") as out, fs.open_input_stream(f"{path}/{name}") as f:
             while part := f.read(1 << 24):
                 out.write(part)
-    data = np.memmap(local, dtype=np.uint8, mode="r")
+    data = np.asarray(np.memmap(local, dtype=np.uint8, mode="r"))  # slices of a plain array are cheaper
     if fs.type_name != "local":
         os.unlink(local)  # the mapping keeps it
     size = int.from_bytes(data[:8].tobytes(), "little")
@@ -117,35 +147,25 @@ def map_arrays(folder: str, name: str) -> dict[str, np.ndarray]:
 class Vocabulary:
     """Hash -> id and count, from the mapped parts."""
 
-    def __init__(self, folder: str, names: list[str], sizes: list[int], most: int = 150_000):
+    def __init__(self, folder: str, names: list[str], sizes: list[int]):
         self.parts = [map_arrays(folder, n) if n else None for n in names]
         self.base = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         self.size = int(self.base[-1])
-        self.cache: dict[bytes, int] = {}
-        self.most = most
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.full(len(hashes), -1, dtype=np.int64)
-        part = (hashes >> np.uint64(60)).astype(np.int64)
-        for p in np.unique(part):
-            if self.parts[p] is None:
-                continue
-            own = np.flatnonzero(part == p)
-            known = self.parts[p]["hash"]
-            at = np.searchsorted(known, hashes[own])
-            hit = known[np.minimum(at, len(known) - 1)] == hashes[own]
-            out[own[hit]] = self.base[p] + at[hit]
-        return out
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        """Id of each word, -1 where it is unknown."""
-        distinct = set(words)
-        missing = [w for w in distinct if w not in self.cache]
-        if len(self.cache) + len(missing) > self.most:
-            self.cache.clear()
-            missing = list(distinct)
-        self.cache.update(zip(missing, self.find(hashes_of(missing)).tolist()))
-        return np.fromiter(map(self.cache.__getitem__, words), dtype=np.int64, count=len(words))
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Id (-1 where it is unknown) and count of each hash."""
+        ids, counts = np.full(len(hashes), -1, dtype=np.int64), np.zeros(len(hashes), dtype=np.int64)
+        order = np.argsort(hashes)  # searches in ascending order stay in the cache
+        hashes = hashes[order]
+        edges = np.append(np.searchsorted(hashes, np.arange(PARTS, dtype=np.uint64) << np.uint64(60)), len(hashes)).tolist()
+        for p, (a, b) in enumerate(zip(edges, edges[1:])):
+            if b > a and self.parts[p] is not None:
+                known = self.parts[p]["hash"]
+                at = np.searchsorted(known, hashes[a:b])
+                hit = known[np.minimum(at, len(known) - 1)] == hashes[a:b]
+                ids[order[a:b][hit]] = self.base[p] + at[hit]
+                counts[order[a:b][hit]] = self.parts[p]["count"][at[hit]]
+        return ids, counts
 
     def counts(self, ids: np.ndarray) -> np.ndarray:
         out = np.zeros(len(ids), dtype=np.int64)
@@ -163,21 +183,32 @@ def _vocabulary(folder: str, names: tuple, sizes: tuple) -> Vocabulary:
 def count_words(docs: DataFrame) -> DataFrame:
     """(hash, n) of training words, summed in tasks first."""
 
-    def rows(counts: Counter) -> pa.RecordBatch:
-        words = list(counts)
-        return pa.RecordBatch.from_arrays([pa.array(hashes_of(words).view(np.int64)), pa.array(list(counts.values()), pa.int64())], names=["hash", "n"])
+    def summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        hashes, n = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(hashes)
+        hashes, n = hashes[order], n[order]
+        starts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+        return hashes[starts], np.add.reduceat(n, starts)
+
+    def rows(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        hashes, n = summed(held)
+        for at in range(0, len(n), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000].view(np.int64)) for x in (hashes, n)], names=["hash", "n"])
 
     def run(batches):
-        counts: Counter = Counter()
-        for batch in pieces(batches):
-            for text in texts_of(batch.column("text")):
-                counts.update(text.lower().split())
-            counts[END] += batch.num_rows
-            if len(counts) > 250_000:
-                yield rows(counts)
-                counts = Counter()
-        if counts:
-            yield rows(counts)
+        held, size = [], 0
+        for batch in blocks(batches, BLOCK):
+            hashes, codes, _ = tokens_of(batch.column("text"))
+            held.append((hashes, np.bincount(codes, minlength=len(hashes))))
+            size += len(hashes)
+            if size > 1_000_000:
+                held = [summed(held)]
+                size = len(held[0][0])
+                if size > 500_000:
+                    yield from rows(held)
+                    held, size = [], 0
+        if held:
+            yield from rows(held)
 
     return docs.select("text").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
 
@@ -218,7 +249,7 @@ def count_pairs(docs: DataFrame, folder: str, names: tuple, sizes: tuple, cuts:
         bounds = np.frombuffer(cuts, dtype=np.uint64)
         held, size = [], 0
 
-        def blocks():
+        def counted():
             keys, n = np.unique(np.concatenate(held), return_counts=True)
             edges = np.append(np.searchsorted(keys, bounds), len(keys))
             rows = [(s, keys[a:b], n[a:b]) for s, (a, b) in enumerate(zip(edges.tolist(), edges[1:].tolist())) if b > a]
@@ -227,18 +258,16 @@ def count_pairs(docs: DataFrame, folder: str, names: tuple, sizes: tuple, cuts:
                 names=["segment", "keys", "counts"],
             )
 
-        for batch in pieces(batches):
-            words = [END]
-            for text in texts_of(batch.column("text")):
-                words += tokens_of(text)
-            ids = vocabulary.ids(words).astype(np.uint64)
-            held.append(ids[:-1] << np.uint64(32) | ids[1:])
-            size += len(ids)
+        for batch in blocks(batches, BLOCK):
+            hashes, codes, _ = tokens_of(batch.column("text"))
+            ids = vocabulary.find(hashes)[0].astype(np.uint64)
+            held.append(np.append(ids[-1], ids[codes[:-1]]) << np.uint64(32) | ids[codes])  # an end before the first text
+            size += len(codes)
             if size > 1_500_000:
-                yield blocks()
+                yield counted()
                 held, size = [], 0
         if held:
-            yield blocks()
+            yield counted()
 
     return docs.select("text").mapInArrow(run, "segment int, keys binary, counts binary")
 
@@ -303,7 +332,7 @@ def encode_segment(folder: str, source: str, name: str, vocabulary: Vocabulary,
 
 class Segment:
     def __init__(self, arrays: dict[str, np.ndarray], size: int):
-        pick = lambda prefix: ef.EliasFano(*(arrays[f"{prefix}_{k}"] for k in ("head", "high", "zeros", "low")))
+        pick = lambda prefix: ef.EliasFano(*(arrays[f"{prefix}_{k}"] for k in ("head", "high", "zeros", "low", "zero_hints", "one_hints")))
         self.low, self.high = (int(x) for x in arrays["range"])
         self.pointer, self.next, self.size = pick("pointer"), pick("next"), size
         self.back, self.prob = arrays["back"], arrays["prob"]
@@ -316,9 +345,10 @@ class Segment:
         if len(inside):
             local = word[inside] - self.low
             at, hit = self.next.successor(local * self.size + successor[inside])
-            own, back = np.unique(local[hit], return_inverse=True)
+            first = np.concatenate([[True], local[1:] != local[:-1]])
+            own, back = local[first], np.cumsum(first) - 1
             begin, end = self.pointer[own], self.pointer[own + 1]
-            hit[np.flatnonzero(hit)] &= (at[hit] >= begin[back]) & (at[hit] < end[back])
+            hit &= (at >= begin[back]) & (at < end[back])
             there[inside] = hit
             code[inside[hit]] = self.prob[at[hit]]
         return there, code
@@ -356,17 +386,12 @@ class Model:
                 out[inside] = part.back[words[inside] - part.low] / -STEP
         return out
 
-    def score(self, texts: list[bytes]) -> dict[str, np.ndarray]:
-        words = [END]
-        sizes = np.zeros(len(texts), dtype=np.int64)
-        for i, text in enumerate(texts):
-            own = tokens_of(text)
-            sizes[i] = len(own)
-            words += own
-        ids = self.vocabulary.ids(words)
-        context, ids = ids[:-1], ids[1:]  # the end before a text is its context
-        counts = self.vocabulary.counts(ids)
-        base = self.unigram(counts)
+    def score(self, texts: pa.Array) -> dict[str, np.ndarray]:
+        hashes, codes, sizes = tokens_of(texts)
+        id_of, count_of = self.vocabulary.find(hashes)
+        ids = id_of[codes]
+        context = np.append(id_of[-1], ids[:-1])  # the end before a text is its context
+        base = self.unigram(count_of)[codes]
         known = context >= 0
         logs = base.copy()
         # -1 + 1 = 0 stands for an unknown word, so that unknown successors back off too
@@ -388,13 +413,23 @@ class Model:
         logs[known] = np.where(there[inverse], value[inverse], value[inverse] + base[known])
         row = np.repeat(np.arange(len(texts)), sizes)
         total = lambda x: np.bincount(row, weights=x, minlength=len(texts))
-        return {"n_tokens": sizes, "n_known": total(counts > 0).astype(np.int64), "base_score": total(base), "score": total(logs)}
+        return {"n_tokens": sizes, "n_known": total(ids >= 0).astype(np.int64), "base_score": total(base), "score": total(logs)}
 
 
 def _model(folder: str) -> Model:
     return only(("model", folder), lambda: Model(folder))
 
 
+def scored(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in blocks(batches, BLOCK):
+        out = model.score(batch.column("text"))
+        total = pa.array(np.full(batch.num_rows, model.total, dtype=np.int64))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("held_out"), pa.array(out["n_tokens"]), pa.array(out["n_known"]), total, pa.array(out["base_score"]), pa.array(out["score"])],
+            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        )
+
+
 def train(docs: DataFrame, tokens: int = 1_000_000, folder: str | None = None) -> str:
     """Count, smooth and encode; the model's folder. ``tokens`` bounds a segment."""
     spark = docs.sparkSession
@@ -449,14 +484,7 @@ def score(docs: DataFrame, folder: str) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
 
     def run(batches):
-        model = _model(folder)
-        for batch in pieces(batches):
-            out = model.score(texts_of(batch.column("text")))
-            total = pa.array(np.full(batch.num_rows, model.total, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(out["n_tokens"]), pa.array(out["n_known"]), total, pa.array(out["base_score"]), pa.array(out["score"])],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
+        yield from scored(_model(folder), batches)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(

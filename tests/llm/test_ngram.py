@@ -3,7 +3,9 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from xxhash import xxh64_intdigest
 
 from tallymill.llm import eliasfano as ef
 from tallymill.llm import ngram
@@ -29,6 +31,53 @@ def test_elias_fano_with_a_dense_stretch():
     assert (at == np.searchsorted(v, v + 1)).all() and (found == np.isin(v + 1, v)).all()
 
 
+def test_elias_fano_selects_over_long_runs():
+    rng = np.random.default_rng(5)
+    for v in (np.arange(40_000), np.concatenate([np.arange(30_000), 10**9 + np.arange(3)]), np.sort(rng.choice([7, 10**6, 10**6 + 1], 9_000)), np.zeros(700, int)):
+        seq = ef.EliasFano(**ef.build(v, int(v[-1]) + 2))
+        assert (seq[np.arange(len(v))] == v).all()
+        q = np.unique(np.concatenate([v, v + 1, rng.integers(0, v[-1] + 1, 500)]))
+        at, found = seq.successor(q)
+        assert (at == np.searchsorted(v, q)).all() and (found == np.isin(q, v)).all()
+
+
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_tokens_are_those_of_bytes(kind):
+    texts = ["", " ", None, "\t A\x0bb\x0cC\r\nÀ É ", "x\x1cy\x1dz\x85w\xa0v\u2028u\x00t", "a a  A b", "  ", "Z" * 40, "🙂 ſ K İ"]
+    want = [[*(t or "").encode().lower().split(), END] for t in texts]
+    for a, b in ((0, len(texts)), (2, 6), (0, 2), (1, 1), (6, 7)):
+        hashes, codes, sizes = ngram.tokens_of(pa.array(texts, kind).slice(a, b - a))
+        assert sizes.tolist() == [len(w) for w in want[a:b]] and len(set(hashes.tolist())) == len(hashes)
+        assert hashes[codes].tolist() == [xxh64_intdigest(x) for w in want[a:b] for x in w]
+        assert hashes[-1] == xxh64_intdigest(END) and len(hashes) == len({END}.union(*want[a:b]))
+
+
+def test_small_batches_visit_a_segment_once(real, monkeypatch):
+    """Look-ups are gathered over batches: their number doesn't follow the batches' number."""
+    df = real.select("doc_id", "text", ngram.held_out().alias("held_out"))
+    model = ngram.Model(ngram.train(df, 2_000))
+    rows = pa.Table.from_batches(df.toArrow().to_batches())
+    visits, look_up = [], ngram.Segment.look_up
+    monkeypatch.setattr(ngram.Segment, "look_up", lambda self, *a: visits.append(self.low) or look_up(self, *a))
+    whole = pa.Table.from_batches(ngram.scored(model, iter(rows.to_batches())))
+    once, visits[:] = len(visits), []
+    small = pa.Table.from_batches(ngram.scored(model, iter(rows.to_batches(max_chunksize=3))))
+    assert once > 5 and len(visits) == once
+    assert small.equals(whole)
+
+
+def test_a_text_longer_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(ngram, "BLOCK", 64)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["a b " * 40, "", None, "b c", "c c c", "d " * 500, "a"] * 3)], "doc_id long, text string")
+    model = ngram.Model(ngram.train(df, 20))
+    rows = df.withColumn("held_out", ngram.held_out()).toArrow()
+    got = pa.Table.from_batches(ngram.scored(model, iter(rows.to_batches(max_chunksize=2))))
+    want = brute([(r["doc_id"], r["text"]) for r in df.collect()])
+    assert got["doc_id"].to_pylist() == [w[0] for w in want] and got["n_tokens"].to_pylist() == [w[1] for w in want]
+    assert got["base_score"].to_pylist() == pytest.approx([w[4] for w in want], abs=1e-6)
+    assert got["score"].to_pylist() == pytest.approx([w[5] for w in want], abs=0.2)
+
+
 def brute(rows):
     tokens = [(d, [*(t or "").encode().lower().split(), END]) for d, t in rows]
     training = [t for d, t in tokens if d is not None and zlib.crc32(str(d).encode()) % 10]
