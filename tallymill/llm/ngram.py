@@ -45,7 +45,8 @@ END = b"\n"  # no word holds it
 ADD = 0.1
 STEP = 4096.0  # quantisation: log10 probabilities in steps of 1/4096
 FLOOR = 65535
-BLOCK = 8 << 20  # bytes of text whose words and pairs are made distinct before they are looked up
+BLOCK = 8 << 20  # bytes of text whose words are made distinct before they are looked up
+PAIRS = 3_000_000  # pairs that are made distinct before they are looked up: every time visits all segments
 
 
 def hashes_of(words: list[bytes]) -> np.ndarray:
@@ -377,43 +378,53 @@ class Model:
         return np.log10(counts + ADD) - self.scale
 
     def backs(self, words: np.ndarray, segments: np.ndarray) -> np.ndarray:
-        """log10 back-off weight of each word (0 where it has none)."""
+        """log10 back-off weight of each word (0 where it has none); words sorted."""
         out = np.zeros(len(words))
-        for s in np.unique(segments):
-            own = np.flatnonzero(segments == s)
-            if (part := self.segment(int(s))) is not None:
-                inside = own[(words[own] >= part.low) & (words[own] < part.high)]
+        some, begin = np.unique(segments, return_index=True)
+        for s, a, b in zip(some.tolist(), begin.tolist(), np.append(begin[1:], len(words)).tolist()):
+            if (part := self.segment(s)) is not None:
+                inside = a + np.flatnonzero((words[a:b] >= part.low) & (words[a:b] < part.high))
                 out[inside] = part.back[words[inside] - part.low] / -STEP
         return out
 
-    def score(self, texts: pa.Array) -> dict[str, np.ndarray]:
+    def coded(self, texts: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+        """Figures of each text, where ``score`` lacks the pairs; the pairs with a known context; each pair's row."""
         hashes, codes, sizes = tokens_of(texts)
         id_of, count_of = self.vocabulary.find(hashes)
         ids = id_of[codes]
         context = np.append(id_of[-1], ids[:-1])  # the end before a text is its context
         base = self.unigram(count_of)[codes]
         known = context >= 0
-        logs = base.copy()
-        # -1 + 1 = 0 stands for an unknown word, so that unknown successors back off too
-        pair = (context[known].astype(np.uint64) << np.uint64(32)) | (ids[known] & 0xFFFFFFFF).astype(np.uint64)
-        keys, inverse = np.unique(pair, return_inverse=True)
-        word, successor = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        row = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+        total = lambda x: np.bincount(row, weights=x, minlength=len(texts))
+        out = {"n_tokens": sizes, "n_known": total(ids >= 0).astype(np.int64), "base_score": total(base), "score": total(np.where(known, 0.0, base))}
+        # the low half of -1 stands for an unknown word, so that unknown successors back off too
+        return out, context[known].astype(np.uint64) << np.uint64(32) | (ids[known] & 0xFFFFFFFF).astype(np.uint64), row[known]
+
+    def logs(self, pairs: np.ndarray) -> np.ndarray:
+        """log10 probability of each pair's second word after its first."""
+        order = np.argsort(pairs)
+        keys = pairs[order]
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+        keys = keys[starts]
+        halves = lambda x: ((x >> np.uint64(32)).astype(np.int64), (x & np.uint64(0xFFFFFFFF)).astype(np.int64))
         there, value = np.zeros(len(keys), dtype=bool), np.zeros(len(keys))
-        real = successor < self.vocabulary.size
         edges = np.append(np.searchsorted(keys, self.bounds), len(keys)).tolist()
         for s, (a, b) in enumerate(zip(edges, edges[1:])):
             if b > a and (part := self.segment(s)) is not None:
-                own = np.flatnonzero(real[a:b]) + a
+                word, successor = halves(keys[a:b])
+                own = np.flatnonzero(successor < self.vocabulary.size)
                 hit, code = part.look_up(word[own], successor[own])
-                there[own], value[own] = hit, code / -STEP
+                there[own + a], value[own + a] = hit, code / -STEP
         # Back-off weights come from the segment where the word begins.
-        firsts = np.searchsorted(self.bounds, word.astype(np.uint64) << np.uint64(32), side="right") - 1
         missing = np.flatnonzero(~there)
-        value[missing] = self.backs(word[missing], firsts[missing])
-        logs[known] = np.where(there[inverse], value[inverse], value[inverse] + base[known])
-        row = np.repeat(np.arange(len(texts)), sizes)
-        total = lambda x: np.bincount(row, weights=x, minlength=len(texts))
-        return {"n_tokens": sizes, "n_known": total(ids >= 0).astype(np.int64), "base_score": total(base), "score": total(logs)}
+        word, successor = halves(keys[missing])
+        firsts = np.searchsorted(self.bounds, word.astype(np.uint64) << np.uint64(32), side="right") - 1
+        under = self.unigram(self.vocabulary.counts(np.where(successor < self.vocabulary.size, successor, -1)))
+        value[missing] = self.backs(word, firsts) + under
+        out = np.empty(len(pairs))
+        out[order] = np.repeat(value, np.diff(np.append(starts, len(pairs))))
+        return out
 
 
 def _model(folder: str) -> Model:
@@ -421,13 +432,27 @@ def _model(folder: str) -> Model:
 
 
 def scored(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+
+    def finished() -> Iterator[pa.RecordBatch]:
+        logs, at = model.logs(np.concatenate([pairs for _, _, pairs, _ in held])), 0
+        for batch, out, pairs, row in held:
+            score = out["score"] + np.bincount(row, weights=logs[at : at + len(pairs)], minlength=batch.num_rows)
+            at += len(pairs)
+            total = pa.array(np.full(batch.num_rows, model.total, dtype=np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("held_out"), pa.array(out["n_tokens"]), pa.array(out["n_known"]), total, pa.array(out["base_score"]), pa.array(score)],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
+
     for batch in blocks(batches, BLOCK):
-        out = model.score(batch.column("text"))
-        total = pa.array(np.full(batch.num_rows, model.total, dtype=np.int64))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("held_out"), pa.array(out["n_tokens"]), pa.array(out["n_known"]), total, pa.array(out["base_score"]), pa.array(out["score"])],
-            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-        )
+        held.append((batch.select(["doc_id", "held_out"]), *model.coded(batch.column("text"))))
+        size += len(held[-1][2])
+        if size > PAIRS:
+            yield from finished()
+            held, size = [], 0
+    if held:
+        yield from finished()
 
 
 def train(docs: DataFrame, tokens: int = 1_000_000, folder: str | None = None) -> str:

@@ -58,16 +58,20 @@ def test_small_batches_visit_a_segment_once(real, monkeypatch):
     model = ngram.Model(ngram.train(df, 2_000))
     rows = pa.Table.from_batches(df.toArrow().to_batches())
     visits, look_up = [], ngram.Segment.look_up
-    monkeypatch.setattr(ngram.Segment, "look_up", lambda self, *a: visits.append(self.low) or look_up(self, *a))
+    monkeypatch.setattr(ngram.Segment, "look_up", lambda self, *a: visits.append(id(self)) or look_up(self, *a))
     whole = pa.Table.from_batches(ngram.scored(model, iter(rows.to_batches())))
     once, visits[:] = len(visits), []
     small = pa.Table.from_batches(ngram.scored(model, iter(rows.to_batches(max_chunksize=3))))
-    assert once > 5 and len(visits) == once
-    assert small.equals(whole)
+    assert once > 5 and len(visits) == once == len(set(visits))
+    monkeypatch.setattr(ngram, "BLOCK", 50_000)  # words are looked up by smaller blocks than pairs
+    visits[:] = []
+    parts = pa.Table.from_batches(ngram.scored(model, iter(rows.to_batches(max_chunksize=3))))
+    assert len(visits) == once and small.equals(whole) and parts.equals(whole)
 
 
 def test_a_text_longer_than_a_block(spark, monkeypatch):
     monkeypatch.setattr(ngram, "BLOCK", 64)
+    monkeypatch.setattr(ngram, "PAIRS", 100)
     df = spark.createDataFrame([(i, t) for i, t in enumerate(["a b " * 40, "", None, "b c", "c c c", "d " * 500, "a"] * 3)], "doc_id long, text string")
     model = ngram.Model(ngram.train(df, 20))
     rows = df.withColumn("held_out", ngram.held_out()).toArrow()
