@@ -219,7 +219,8 @@ class MlpModel:
 
     @staticmethod
     def stepped(weights: list, x: np.ndarray, y: np.ndarray, rate: float, rng, batch: int = 256) -> list:
-        """The weights after one pass through the rows in small batches."""
+        """The weights after one pass through the rows in small batches: of few rows smaller ones, so that it has steps enough."""
+        batch = min(batch, max(8, len(y) // 8))
         moments = [[[np.zeros_like(p) for p in layer] for layer in weights] for _ in range(2)]
         order, t = rng.permutation(len(y)), 0
         for a in range(0, len(order), batch):

@@ -175,6 +175,13 @@ def test_models_and_bundles(spark, tmp_path):
     assert cv["n_folds"] == 2
 
 
+@pytest.mark.parametrize("parts", [1, 4, 13])
+def test_network_learns_from_small_partitions(spark, parts):
+    df = spark.range(0, 400, 1, parts).selectExpr("id as k", "cast(id % 20 as string) n", "cast(id % 3 as string) c", "cast(id % 20 * 3 as double) t")
+    data, names = models.matrix(df, prep.fit(df, ["n"], ["c"], "mlp_ohe"), F.col("t"), "k")
+    assert models.evaluate(models.MlpModel(epochs=30, rate=1e-2).fit(data, names), data)["rmse"] < 8
+
+
 def test_model_drift(spark, tmp_path):
     limits = ModelDriftLimits(enabled=True, fail_on="critical")
     report = monitor.assess(spark, {"rmse": 13.0}, {"rmse": 10.0}, limits)
